@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import fold_ws
 from sparkloom.llm.lookalike import char_frequencies, match_disguised, rewrite_rules
 from sparkloom.llm.mixing import mix, share_report, sized_documents, source_rates
+from sparkloom.llm.subjects import subjects_of
 from sparkloom.llm.survivors import consensus_survivors, ranked_survivors
 from sparkloom.llm.tokens import with_ids, with_text, with_token_count
 from sparkloom.operators.timestamps import wall_day, with_utc_micros
@@ -95,3 +96,19 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     sized = _sized(spark, sf)
     rates = source_rates(sized, table(spark, sf, "mix_targets"), "source", "n_tokens")
     return share_report(mix(sized, rates, "doc_id", "source"), rates, "source", "n_tokens")
+
+
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects_of(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "doc_labels", "doc_id", "subject"), table(spark, sf, "subjects", "subject"))
+
+
+@R.add("p10_found")
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, sf).select("doc_id", "subject").distinct()
+
+
+@R.add("p10_composition")
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """How many documents and sentences of the corpus each subject has."""
+    return _subjects(spark, sf).groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
