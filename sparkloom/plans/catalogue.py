@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import landing
+from sparkloom.plans import engine, landing, relational
 
-REGISTRIES = [landing.R]
+REGISTRIES = [landing.R, relational.R, engine.R]
