@@ -9,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 
 def half_up(numerator: int, denominator: int) -> int:
@@ -61,22 +63,27 @@ def amortization(df: DataFrame, principal: str, rate_bp: int, periods: int) -> D
     """One row per period of each loan: period, interest, paid, principal_part, balance, in cents.
 
     Equal principal-and-interest payments rounded to the cent; interest is rounded each period and the
-    last payment clears the balance. rate_bp is the yearly rate in hundredths of a percent; 0 is allowed.
+    last payment clears the balance. rate_bp is the yearly rate in hundredths of a percent; 0 is
+    allowed. All loans of a batch step through the periods together. A null principal counts as 0.
     """
+    made = {"period": IntegerType(), "interest": LongType(), "paid": LongType(), "principal_part": LongType(), "balance": LongType()}
+    if clash := set(made) & set(df.columns):
+        raise ValueError(f"{sorted(clash)} are already columns")
+    schema = StructType([*df.schema.fields, *[StructField(c, t) for c, t in made.items()]])
     rate = rate_bp / 120_000
-    level = F.col(principal) / periods if rate == 0 else F.col(principal) * rate / (1 - (1 + rate) ** -periods)
-    start = F.struct(F.col(principal).cast("bigint").alias("balance"), F.array().cast("array<struct<period:int,interest:bigint,paid:bigint,principal_part:bigint,balance:bigint>>").alias("rows"))
-
-    def step(state: Column, period: Column) -> Column:
-        balance = state["balance"]
-        interest = F.floor((balance * rate_bp * 2 + 120_000) / 240_000).cast("bigint")
-        part = F.when(period == periods, balance).otherwise(F.least(balance, F.col("_level") - interest))
-        left = balance - part
-        row = F.struct(period.cast("int").alias("period"), interest.alias("interest"), (interest + part).alias("paid"), part.alias("principal_part"), left.alias("balance"))
-        return F.struct(left.alias("balance"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    folded = df.withColumn("_level", F.floor(level + 0.5).cast("bigint")).withColumn("_run", F.aggregate(F.sequence(F.lit(1), F.lit(periods)), start, step))
-    return folded.select(*df.columns, F.explode("_run.rows").alias("_row")).select(*df.columns, "_row.*")
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            balance = pc.fill_null(b.column(b.schema.get_field_index(principal)).cast(pa.int64()), 0).to_numpy(zero_copy_only=False).copy()
+            level = np.floor((balance / periods if rate == 0 else balance * rate / (1 - (1 + rate) ** -periods)) + 0.5).astype(np.int64)
+            for period in range(1, periods + 1):
+                interest = (balance * (2 * rate_bp) + 120_000) // 240_000
+                part = balance if period == periods else np.minimum(balance, level - interest)
+                balance = balance - part
+                row = [pa.array(np.full(b.num_rows, period, np.int32)), *map(pa.array, (interest, interest + part, part, balance))]
+                yield pa.RecordBatch.from_arrays([*b.columns, *row], names=[*b.schema.names, *made])
+
+    return df.mapInArrow(convert, schema)
 
 
 def through_brackets(df: DataFrame, before: Column, amount: Column, brackets: list[tuple[int, int | None, int]]) -> DataFrame:

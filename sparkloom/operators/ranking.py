@@ -8,19 +8,32 @@ from pyspark.sql.window import Window
 
 from sparkloom.session import written
 
+#: Rows of a group that one task may number.
+LARGEST_GROUP = 1_000_000
 
-def ranked(df: DataFrame, group: list[str], order: list[Column], rn: str = "rn", sums: dict[str, str] | None = None) -> DataFrame:
+
+def largest_group(df: DataFrame, group: list[str]) -> int:
+    """How many rows the largest group has; counted with map-side combining."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], rn: str = "rn", sums: dict[str, str] | None = None, largest: int = LARGEST_GROUP) -> DataFrame:
     """df with a row number within its group, and running sums ({new column: summed column}), by `order`.
 
-    Rows are range-partitioned by group and order, so a group that holds a third of all rows, or
-    the only group there is, spreads over tasks. Each part is numbered on its own; the parts a
-    group began in before give the offset. A part can continue only one group, so the offsets are at
-    most one row per part and are broadcast. `order` must be total for a repeatable result; nulls
-    sort as the given columns say; an empty table stays empty. Null values add nothing to sums.
+    While every group has at most `largest` rows, a plain window does it. Else rows are
+    range-partitioned by group and order, so a group that holds a third of all rows, or the only
+    group there is, spreads over tasks. Each part is numbered on its own; the parts a group began in
+    before give the offset. A part can continue only one group, so the offsets are at most one row
+    per part and are broadcast. `order` must be total for a repeatable result; nulls sort as the
+    given columns say; an empty table stays empty. Null values add nothing to sums.
     """
     sums = sums or {}
     if clash := {rn, *sums, "_part", "_n"} & set(df.columns):
         raise ValueError(f"{sorted(clash)} are already columns")
+    if largest_group(df, group) <= largest:
+        window = Window.partitionBy(*group).orderBy(*order)
+        out = df.withColumn(rn, F.row_number().over(window).cast("bigint"))
+        return out.withColumns({new: F.sum(old).over(window.rowsBetween(Window.unboundedPreceding, 0)) for new, old in sums.items()})
     keys = [F.col(g).asc_nulls_first() for g in group]
     ranged = written(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part", *group).orderBy(*order)

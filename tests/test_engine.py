@@ -19,15 +19,15 @@ def test_ranked_with_one_huge_group(spark):
     rng = random.Random(3)
     rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", rng.randrange(10**6), i, None if i % 11 == 0 else i % 5) for i in range(4000)]
     df = spark.createDataFrame(rows, "g string, x long, id long, v long").repartition(7)
-    got = {r.id: (r.rn, r.run) for r in ranked(df, ["g"], [F.col("x").desc(), F.col("id")], "rn", {"run": "v"}).collect()}
+    call = lambda most: {r.id: (r.rn, r.run) for r in ranked(df, ["g"], [F.col("x").desc(), F.col("id")], "rn", {"run": "v"}, most).collect()}
     state, want = {}, {}
     for g, x, i, v in sorted(rows, key=lambda r: (-r[1], r[2])):
         n, s = state.get(g, (0, None))
         s = s if v is None else (s or 0) + v
         state[g] = want[i] = (n + 1, s)
-    assert got == want
+    assert call(100) == want and call(10**6) == want
     assert ranked(df.limit(0), ["g"], [F.col("id")]).count() == 0
-    assert [r.rn for r in ranked(df, [], [F.col("id")]).orderBy("id").collect()] == list(range(1, 4001))
+    assert [r.rn for r in ranked(df, [], [F.col("id")], largest=10).orderBy("id").collect()] == list(range(1, 4001))
 
 
 def test_salted_join_keeps_rows(spark):
@@ -42,7 +42,9 @@ def test_salted_join_keeps_rows(spark):
 
 def shares(spark, f, weights, total, tie="pos"):
     df = spark.createDataFrame([("g", i, w, total) for i, w in enumerate(weights)], "g string, pos int, w long, total long")
-    return [r.cents for r in f(df, ["g"], "total", "w", [F.col(tie)]).orderBy("pos").collect()]
+    got = [[r.cents for r in f(df, ["g"], "total", "w", [F.col(tie)], largest=most).orderBy("pos").collect()] for most in (2, 10**6)]
+    assert got[0] == got[1]
+    return got[0]
 
 
 def test_allocation(spark):
