@@ -63,12 +63,11 @@ def pairs_within(left: DataFrame, right: DataFrame | None, radius_m: float, max_
 
 def region_cells(regions: DataFrame, region_id: str, ring: str, step: float) -> DataFrame:
     """(rid, cy, cx, edges): for each cell of a region's bounding box the edges that cross the cell's band of latitude."""
-    corner = F.col("p")
     edges = (
         regions.where(F.size(ring) >= 4)
         .select(F.col(region_id).cast("string").alias("rid"), F.col(ring).alias("ring"), F.array_min(F.transform(ring, lambda p: p["lon"])).alias("x0"), F.array_max(F.transform(ring, lambda p: p["lon"])).alias("x1"))
         .withColumn("p", F.explode(F.zip_with(F.slice("ring", 1, F.size("ring") - 1), F.slice("ring", 2, F.size("ring") - 1), lambda a, b: F.struct(a["lon"].alias("ax"), a["lat"].alias("ay"), b["lon"].alias("bx"), b["lat"].alias("by")))))
-        .select("rid", "x0", "x1", corner)
+        .select("rid", "x0", "x1", "p")
     )
     band = F.explode(F.sequence(F.floor(F.least("p.ay", "p.by") / step), F.floor(F.greatest("p.ay", "p.by") / step)))
     banded = edges.select("rid", "x0", "x1", "p", band.alias("cy")).groupBy("rid", "cy").agg(F.collect_list("p").alias("edges"), F.first("x0").alias("x0"), F.first("x1").alias("x1"))
@@ -85,10 +84,14 @@ def inside(edges: Column, lat: Column, lon: Column) -> Column:
     return crossed % 2 == 1
 
 
-def points_in_regions(points: DataFrame, regions: DataFrame, region_id: str = "zone_id", ring: str = "ring", step: float = 0.02) -> DataFrame:
-    """Pairs (left_key: region id, right_key: point key) of the points inside each region."""
+def region_index(regions: DataFrame, region_id: str = "zone_id", ring: str = "ring", step: float = 0.02) -> DataFrame:
+    """The cells of all regions, marked for broadcast while they are few."""
     cells = region_cells(regions, region_id, ring, step)
-    cells = F.broadcast(cells) if cells.count() <= BROADCAST_ROWS // 4 else cells
+    return F.broadcast(cells) if cells.count() <= BROADCAST_ROWS // 4 else cells
+
+
+def points_in_regions(points: DataFrame, cells: DataFrame, step: float = 0.02) -> DataFrame:
+    """Pairs (left_key: region id, right_key: point key) of the points inside each region; cells come from region_index with the same step."""
     placed = points.withColumn("cy", F.floor(F.col("lat") / step)).withColumn("cx", F.floor(F.col("lon") / step))
     met = placed.join(cells, ["cy", "cx"]).where(inside(F.col("edges"), F.col("lat"), F.col("lon")))
     return met.select(F.col("rid").alias("left_key"), F.col("key").alias("right_key")).distinct()

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import plain_decimal, strip_ws
 from sparkloom.operators.multivalue import explode_packed
-from sparkloom.operators.nearby import pairs_within, points_in_regions, usable_points
+from sparkloom.operators.nearby import pairs_within, points_in_regions, region_index, usable_points
 from sparkloom.operators.orphans import orphan_references
 from sparkloom.operators.rejects import Layout, classify_lines, landed_faults
 from sparkloom.operators.timestamps import with_utc_micros, zone_table
 from sparkloom.plans.registry import Registry
+from sparkloom.session import written
 from sparkloom.sources.tables import table
 
 R = Registry()
@@ -197,10 +198,11 @@ UNION ALL SELECT DISTINCT kind, zid, key FROM pip
 @R.add("p5_found", _P5_SQL)
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     """Stops near collisions, chargers and other stops, and the zone each point lies in."""
-    stops = _stop_points(spark, sf)
-    collisions = usable_points(table(spark, sf, "collisions_raw", "collision_id", "lat", "lon"), F.col("collision_id"), plain_decimal(F.col("lat")), plain_decimal(F.col("lon")))
-    chargers = usable_points(table(spark, sf, "ev_raw", "objectid", "lat", "lon"), F.col("objectid"), F.col("lat"), F.col("lon"))
-    zones = table(spark, sf, "zones", "zone_id", "ring")
+    # Each point set is parsed and made distinct once, for all the pairs it takes part in.
+    stops = written(_stop_points(spark, sf))
+    collisions = written(usable_points(table(spark, sf, "collisions_raw", "collision_id", "lat", "lon"), F.col("collision_id"), plain_decimal(F.col("lat")), plain_decimal(F.col("lon"))))
+    chargers = written(usable_points(table(spark, sf, "ev_raw", "objectid", "lat", "lon"), F.col("objectid"), F.col("lat"), F.col("lon")))
+    zones = region_index(table(spark, sf, "zones", "zone_id", "ring"))
     pairs = {
         "stop_collision": pairs_within(stops, collisions, 60),
         "stop_ev": pairs_within(chargers, stops, 250).select(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key")),
