@@ -29,12 +29,12 @@ def perpetual_average_cost(df: DataFrame, key: str, order: list[Column], issue:
     A receipt adds quantity and value; an issue takes quantity at the average so far, rounded at
     each step; from the first negative stock on the flag stays set and the run continues. An issue
     without stock has value 0. Null quantities and values count as 0, a null issue flag is a
-    receipt; rows of a null key are one key. `order` must be total.
+    receipt; rows of a null key are one key. `order` must be total. Columns already called like the
+    new ones are replaced.
     """
     made = ["on_hand", "value_left", "issue_value", "went_negative"]
-    if clash := set(made) & set(df.columns):
-        raise ValueError(f"{sorted(clash)} are already columns")
-    schema = StructType([*df.schema.fields, *[StructField(c, LongType()) for c in made[:3]], StructField(made[3], BooleanType())])
+    kept = [c for c in df.columns if c not in made]
+    schema = StructType([*[df.schema[c] for c in kept], *[StructField(c, LongType()) for c in made[:3]], StructField(made[3], BooleanType())])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, stock, worth, negative = object(), 0, 0, False
@@ -54,7 +54,7 @@ def perpetual_average_cost(df: DataFrame, key: str, order: list[Column], issue:
                 for column, x in zip(out, (stock, worth, taken, negative), strict=True):
                     column.append(x)
             arrays = [pa.array(c, pa.int64()) for c in out[:3]] + [pa.array(out[3], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=[*b.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], *arrays], names=[*kept, *made])
 
     return df.repartition(key).sortWithinPartitions(F.col(key).asc_nulls_first(), *order).mapInArrow(convert, schema)
 
@@ -67,9 +67,8 @@ def amortization(df: DataFrame, principal: str, rate_bp: int, periods: int) -> D
     allowed. All loans of a batch step through the periods together. A null principal counts as 0.
     """
     made = {"period": IntegerType(), "interest": LongType(), "paid": LongType(), "principal_part": LongType(), "balance": LongType()}
-    if clash := set(made) & set(df.columns):
-        raise ValueError(f"{sorted(clash)} are already columns")
-    schema = StructType([*df.schema.fields, *[StructField(c, t) for c, t in made.items()]])
+    kept = [c for c in df.columns if c not in made]
+    schema = StructType([*[df.schema[c] for c in kept], *[StructField(c, t) for c, t in made.items()]])
     rate = rate_bp / 120_000
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +80,7 @@ def amortization(df: DataFrame, principal: str, rate_bp: int, periods: int) -> D
                 part = balance if period == periods else np.minimum(balance, level - interest)
                 balance = balance - part
                 row = [pa.array(np.full(b.num_rows, period, np.int32)), *map(pa.array, (interest, interest + part, part, balance))]
-                yield pa.RecordBatch.from_arrays([*b.columns, *row], names=[*b.schema.names, *made])
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], *row], names=[*kept, *made])
 
     return df.mapInArrow(convert, schema)
 

@@ -109,11 +109,12 @@ def split_packed(texts: pa.Array) -> pa.ListArray:
 
 
 def explode_packed(df: DataFrame, field: str, value: str = "value", pos: str = "pos") -> DataFrame:
-    """One row per value of `field`: the other columns, pos from 1 within the row, and the value."""
-    others = [c for c in df.columns if c != field]
-    if clash := {value, pos} & set(others):
-        raise ValueError(f"{sorted(clash)} are already columns")
-    schema = StructType([*df.select(*others).schema.fields, StructField(pos, IntegerType()), StructField(value, StringType())])
+    """One row per value of `field`: the other columns, pos from 1 within the row, and the value.
+
+    Other columns already called like the new ones are replaced.
+    """
+    others = [c for c in df.columns if c not in (field, value, pos)]
+    schema = StructType([*[df.schema[c] for c in others], StructField(pos, IntegerType()), StructField(value, StringType())])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

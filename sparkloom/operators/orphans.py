@@ -46,22 +46,22 @@ def might_contain(spark: SparkSession, filter_bytes: bytes | None, key: str) ->
 def orphan_references(
     children: DataFrame, parents: DataFrame, *, child_key: str, parent_key: str, child_time: str, parent_time: str, parent_status: str, parent_tie: str, removed: str = "REM"
 ) -> DataFrame:
-    """children with `_key` and `reason`: missing, deleted or late; references in order don't come out."""
-    kids = children.withColumn("_key", reference_key(F.col(child_key))).where(F.col("_key").isNotNull())
+    """The rows of children in disorder with `reason`: missing, deleted or late; a column of that name is replaced."""
+    kids = children.drop("reason").withColumn("__sl_key", reference_key(F.col(child_key))).where(F.col("__sl_key").isNotNull())
     keyed = parents.select(
-        reference_key(F.col(parent_key)).alias("_key"), F.col(parent_time).alias("_at"), F.upper(F.trim(parent_status)).alias("_status"), F.col(parent_tie).alias("_tie")
-    ).where(F.col("_key").isNotNull())
-    stats = keyed.agg(F.approx_count_distinct("_key").alias("n"), F.max(F.length("_key")).alias("width")).first()
+        reference_key(F.col(parent_key)).alias("__sl_key"), F.col(parent_time).alias("__sl_at"), F.upper(F.trim(parent_status)).alias("__sl_status"), F.col(parent_tie).alias("__sl_tie")
+    ).where(F.col("__sl_key").isNotNull())
+    stats = keyed.agg(F.approx_count_distinct("__sl_key").alias("n"), F.max(F.length("__sl_key")).alias("width")).first()
     n = int((stats["n"] or 0) * 1.1) + 1
-    passed = might_contain(children.sparkSession, bloom_filter(keyed, "_key", n), "_key")
+    passed = might_contain(children.sparkSession, bloom_filter(keyed, "__sl_key", n), "__sl_key")
     proven = kids.where(~passed).withColumn("reason", F.lit("missing"))
-    state = keyed.groupBy("_key").agg(F.max_by("_status", F.struct("_at", "_tie")).alias("_last"), F.min("_at").alias("_first"))
+    state = keyed.groupBy("__sl_key").agg(F.max_by("__sl_status", F.struct("__sl_at", "__sl_tie")).alias("__sl_last"), F.min("__sl_at").alias("__sl_first"))
     maybe = kids.where(passed)
     small = bounded_broadcast(state, n, 4 * (stats["width"] or 0) + 64)
     if small is not state:
-        met = maybe.join(small, "_key", "left")
+        met = maybe.join(small, "__sl_key", "left")
     else:
-        met = salted_join(maybe, state, ["_key"], [c for c in children.columns if c != child_key] or [child_key], hot_keys(maybe, ["_key"], maybe.count()), "left")
-    reason = F.when(F.col("_first").isNull(), "missing").when(F.col("_last") == removed, "deleted").when(F.col("_first") > F.col(child_time), "late")
+        met = salted_join(maybe, state, ["__sl_key"], [c for c in kids.columns if c not in (child_key, "__sl_key")] or [child_key], hot_keys(maybe, ["__sl_key"], maybe.count()), "left")
+    reason = F.when(F.col("__sl_first").isNull(), "missing").when(F.col("__sl_last") == removed, "deleted").when(F.col("__sl_first") > F.col(child_time), "late")
     verified = met.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(proven.columns)
-    return proven.unionByName(verified)
+    return proven.unionByName(verified).drop("__sl_key")

@@ -25,30 +25,30 @@ def ranked(df: DataFrame, group: list[str], order: list[Column], rn: str = "rn",
     group there is, spreads over tasks. Each part is numbered on its own; the parts a group began in
     before give the offset. A part can continue only one group, so the offsets are at most one row
     per part and are broadcast. `order` must be total for a repeatable result; nulls sort as the
-    given columns say; an empty table stays empty. Null values add nothing to sums.
+    given columns say; an empty table stays empty. Null values add nothing to sums. Columns already
+    called like the new ones are replaced.
     """
     sums = sums or {}
-    if clash := {rn, *sums, "_part", "_n"} & set(df.columns):
-        raise ValueError(f"{sorted(clash)} are already columns")
+    df = df.drop(*({rn, *sums} - set(group) - set(sums.values())))
     if largest_group(df, group) <= largest:
         window = Window.partitionBy(*group).orderBy(*order)
         out = df.withColumn(rn, F.row_number().over(window).cast("bigint"))
         return out.withColumns({new: F.sum(old).over(window.rowsBetween(Window.unboundedPreceding, 0)) for new, old in sums.items()})
     keys = [F.col(g).asc_nulls_first() for g in group]
-    ranged = written(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy("_part", *group).orderBy(*order)
+    ranged = written(df.repartitionByRange(*keys, *order).withColumn("__sl_part", F.spark_partition_id()))
+    local = Window.partitionBy("__sl_part", *group).orderBy(*order)
     out = ranged.withColumn(rn, F.row_number().over(local).cast("bigint"))
     for new, old in sums.items():
         out = out.withColumn(new, F.sum(old).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = ranged.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(old).alias(f"_s_{new}") for new, old in sums.items()])
-    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = [F.col("_part").alias("_part_o"), *[F.col(g).alias(f"_g_{g}") for g in group]]
-    offsets = parts.select(*moved, F.sum("_n").over(earlier).alias("_n"), *[F.sum(f"_s_{new}").over(earlier).alias(f"_s_{new}") for new in sums]).where(F.col("_n") > 0)
-    same = F.col("_part") == F.col("_part_o")
+    parts = ranged.groupBy("__sl_part", *group).agg(F.count(F.lit(1)).alias("__sl_n"), *[F.sum(old).alias(f"__sl_s_{new}") for new, old in sums.items()])
+    earlier = Window.partitionBy(*group).orderBy("__sl_part").rowsBetween(Window.unboundedPreceding, -1)
+    moved = [F.col("__sl_part").alias("__sl_part_o"), *[F.col(g).alias(f"__sl_g_{g}") for g in group]]
+    offsets = parts.select(*moved, F.sum("__sl_n").over(earlier).alias("__sl_n"), *[F.sum(f"__sl_s_{new}").over(earlier).alias(f"__sl_s_{new}") for new in sums]).where(F.col("__sl_n") > 0)
+    same = F.col("__sl_part") == F.col("__sl_part_o")
     for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__sl_g_{g}"))
     met = out.join(F.broadcast(offsets), same, "left")
-    met = met.withColumn(rn, F.col(rn) + F.coalesce("_n", F.lit(0)))
+    met = met.withColumn(rn, F.col(rn) + F.coalesce("__sl_n", F.lit(0)))
     for new in sums:
-        met = met.withColumn(new, F.when(F.col(f"_s_{new}").isNull(), F.col(new)).otherwise(F.coalesce(F.col(new), F.lit(0)) + F.col(f"_s_{new}")))
+        met = met.withColumn(new, F.when(F.col(f"__sl_s_{new}").isNull(), F.col(new)).otherwise(F.coalesce(F.col(new), F.lit(0)) + F.col(f"__sl_s_{new}")))
     return met.select(*df.columns, rn, *sums)

@@ -57,14 +57,15 @@ def _field(line: Column, k: int) -> Column:
 
 
 def classify_lines(df: DataFrame, line: str, kind: str, layouts: dict[str, Layout]) -> DataFrame:
-    """df with `record` (the permissive reading, by kind), `corrupt` and `reason`; reason is null for good lines.
+    """df with `read_<kind>` (the permissive reading), `corrupt` and `reason`; reason is null for good lines.
 
-    Lines of a kind without a layout are no cases and get no record.
+    Lines of a kind without a layout are no cases and get no record. Columns already called like
+    the new ones are replaced.
     """
     text, reason, corrupt = F.col(line), F.lit(None).cast("string"), F.lit(None).cast("string")
     bare = F.regexp_replace(text, _WHOLE_QUOTED, "q")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    out = df
+    reads = {}
     for name, layout in layouts.items():
         schema = StructType([StructField(c, StringType()) for c in layout.columns] + [StructField("_corrupt", StringType())])
         read = F.from_csv(text, schema.simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
@@ -75,9 +76,9 @@ def classify_lines(df: DataFrame, line: str, kind: str, layouts: dict[str, Layou
         mine = F.col(kind) == name
         found = F.when(bare.contains('"'), "quoting").when(fields != len(layout.columns), "columns").when(value, "value")
         reason = F.when(mine, found).otherwise(reason)
-        out = out.withColumn(f"read_{name}", F.when(mine, read))
-        corrupt = F.when(mine, F.col(f"read_{name}._corrupt")).otherwise(corrupt)
-    return out.withColumn("corrupt", corrupt).withColumn("reason", F.when(text.isNotNull(), reason))
+        reads[f"read_{name}"] = F.when(mine, read)
+        corrupt = F.when(mine, read["_corrupt"]).otherwise(corrupt)
+    return df.withColumns({**reads, "corrupt": corrupt, "reason": F.when(text.isNotNull(), reason)})
 
 
 def landed_faults(df: DataFrame, integers: tuple[str, ...] = (), decimals: tuple[str, ...] = ()) -> DataFrame:

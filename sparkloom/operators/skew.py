@@ -24,9 +24,9 @@ def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHAR
     limit = max(least, int(total * share))
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+        .agg(F.count(F.lit(1)).alias("__sl_n"))
+        .where(F.col("__sl_n") > limit)
+        .select(*keys, F.ceil(F.col("__sl_n") / limit).cast("int").alias("__sl_salts"))
     )
 
 
@@ -37,6 +37,6 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[
     of small that meet a hot key are repeated, once for each salt. Null keys meet nothing.
     """
     hot = F.broadcast(hot)
-    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    left = big.join(hot, keys, "left").withColumn("__sl_salt", F.pmod(F.xxhash64(*spread), F.coalesce("__sl_salts", F.lit(1))).cast("int")).drop("__sl_salts")
+    right = small.join(hot, keys, "left").withColumn("__sl_salt", F.explode(F.sequence(F.lit(0), F.coalesce("__sl_salts", F.lit(1)) - 1))).drop("__sl_salts")
+    return left.join(right, [*keys, "__sl_salt"], how).drop("__sl_salt")

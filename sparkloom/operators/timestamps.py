@@ -234,19 +234,18 @@ def utc_micros(texts: pa.Array | pa.ChunkedArray, zone: ZoneTable) -> pa.Array:
 def with_utc_micros(df: DataFrame, text: str, out: str = "utc_us", zone: str = "America/Halifax") -> DataFrame:
     """The rows of df whose text names a real moment, with that moment in a further column.
 
-    Other columns pass unchanged; a column already called `out` is an error rather than overwritten.
+    Other columns pass unchanged; a column already called `out` is replaced.
     """
-    if out in df.columns:
-        raise ValueError(f"{out} is already a column")
     known = zone_table(df.sparkSession, zone)
+    kept = [c for c in df.columns if c != out]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             us = utc_micros(b.column(b.schema.get_field_index(text)), known)
-            whole = pa.RecordBatch.from_arrays([*b.columns, us], names=[*b.schema.names, out])
+            whole = pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], us], names=[*kept, out])
             yield whole.filter(us.is_valid())
 
-    return df.mapInArrow(convert, StructType([*df.schema.fields, StructField(out, LongType())]))
+    return df.mapInArrow(convert, StructType([*[df.schema[c] for c in kept], StructField(out, LongType())]))
 
 
 def wall_day(spark: SparkSession, utc_us: Column, zone: str = "America/Halifax") -> Column:
