@@ -23,6 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Look-alikes that the ICU data lacks or gives another reading.
 EXTRA_PAIRS = (("ӏ", "l"), ("ı", "ı"), ("∕", "/"), ("－", "-"), ("（", "("), ("）", ")"), ("＆", "&"))
@@ -169,18 +170,20 @@ def fold_plain(text: str) -> str:
 
 
 def with_canonical(df: DataFrame, text: str, rules: dict[str, str], canon: str = "canon", plain: str = "plain") -> DataFrame:
-    """df with the canonical form of a column and its text with plain white space folded, both null for null or blank."""
-    if clash := {canon, plain} & set(df.columns):
-        raise ValueError(f"{sorted(clash)} are already columns")
+    """df with the canonical form of a column and its text with plain white space folded, both null for null or blank.
+
+    Columns already called like the new ones are replaced.
+    """
+    kept = [c for c in df.columns if c not in (canon, plain)]
     shared, key = df.sparkSession.sparkContext.broadcast(rules), hash(frozenset(rules.items()))
-    schema = df.withColumns({c: F.lit(None).cast("string") for c in (canon, plain)}).schema
+    schema = StructType([*[df.schema[c] for c in kept], *[StructField(c, StringType()) for c in (canon, plain)]])
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rewriter = Rewriter.shared(key, shared.value)
         for b in batches:
             values = b.column(b.schema.get_field_index(text)).to_pylist()
             made = [pa.array([rewriter.canonical(t) for t in values], pa.string()), pa.array([t and (fold_plain(t) or None) for t in values], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, canon, plain])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], *made], names=[*kept, canon, plain])
 
     return df.mapInArrow(convert, schema)
 
@@ -189,11 +192,12 @@ def match_disguised(texts: DataFrame, text: str, register: DataFrame, name_id: s
     """Rows of texts that read as a registered name but are made of other characters, with its id.
 
     Of registered names that read alike the one with the smallest id counts. The register is
-    broadcast only up to broadcast_rows names.
+    broadcast only up to broadcast_rows names. A column of texts called like the id is replaced.
     """
     known = register.select(name_id, name).where(F.col(name).isNotNull())
-    forms = with_canonical(known, name, rules, "canon", "_plain").where(F.col("canon").isNotNull())
-    forms = forms.groupBy("canon").agg(F.min(name_id).alias(name_id), F.collect_set("_plain").alias("_names"))
+    canon, plain, names = "__sl_canon", "__sl_plain", "__sl_names"
+    forms = with_canonical(known, name, rules, canon, plain).where(F.col(canon).isNotNull())
+    forms = forms.groupBy(canon).agg(F.min(name_id).alias(name_id), F.collect_set(plain).alias(names))
     forms = F.broadcast(forms) if register.count() <= broadcast_rows else forms
-    met = with_canonical(texts, text, rules).where(F.col("canon").isNotNull()).join(forms, "canon")
-    return met.where(~F.array_contains("_names", F.col("plain"))).drop("canon", "plain", "_names")
+    met = with_canonical(texts.drop(name_id), text, rules, canon, plain).where(F.col(canon).isNotNull()).join(forms, canon)
+    return met.where(~F.array_contains(names, F.col(plain))).drop(canon, plain, names)

@@ -42,10 +42,11 @@ def _chance(seed: int, key: str) -> Column:
 
 
 def mix(sized: DataFrame, rates: DataFrame, key: str, source: str, seed: int = 42) -> DataFrame:
-    """Each document as often as it is drawn, with copy_no from 1; no shuffle, the rates are a few rows."""
-    drawn = sized.join(F.broadcast(rates.where(F.col("rate") > 0).select(source, "rate")), source)
-    copies = F.floor("rate") + F.when(_chance(seed, key) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    return drawn.withColumn("_copies", copies).where(F.col("_copies") > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "rate")
+    """Each document as often as it is drawn, with copy_no from 1 (a column of that name is replaced); no shuffle, the rates are a few rows."""
+    rate, n = F.col("__sl_rate"), F.col("__sl_copies")
+    drawn = sized.drop("copy_no").join(F.broadcast(rates.where(F.col("rate") > 0).select(source, F.col("rate").alias("__sl_rate"))), source)
+    copies = F.floor(rate) + F.when(_chance(seed, key) < rate - F.floor(rate), 1).otherwise(0)
+    return drawn.withColumn("__sl_copies", copies).where(n > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), n.cast("int")))).drop("__sl_copies", "__sl_rate")
 
 
 def share_report(mixed: DataFrame, rates: DataFrame, source: str, size: str) -> DataFrame:

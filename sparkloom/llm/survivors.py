@@ -29,10 +29,11 @@ def ranked_survivors(df: DataFrame, group: list[str], row_id: str, rank: list[Co
     group_id is the smallest row id of the group. One shuffle of partial maxima; no group is gathered.
     """
     best = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], (-F.col(row_id)).alias("id"))
-    picks = [F.max(F.when(ok, best)).alias(f"best_{name}") for name, ok in usable.items()]
-    groups = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("group_id"), *picks).where(F.col("n") > 1)
-    fields = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), (-F.col(f"best_{name}.id")).alias(row_id)) for name in usable]))
-    return groups.select("group_id", fields.alias("f")).select("group_id", "f.*").where(F.col(row_id).isNotNull())
+    picks = [F.max(F.when(ok, best)).alias(f"__sl_best_{name}") for name, ok in usable.items()]
+    keys = [F.col(g).alias(f"__sl_g{i}") for i, g in enumerate(group)]
+    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__sl_n"), F.min(row_id).alias("group_id"), *picks).where(F.col("__sl_n") > 1)
+    fields = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), (-F.col(f"__sl_best_{name}.id")).alias(row_id)) for name in usable]))
+    return groups.select("group_id", fields.alias("__sl_f")).where(F.col(f"__sl_f.{row_id}").isNotNull()).select("group_id", "__sl_f.*")
 
 
 def align_tokens(seed: list[str], tokens: list[str]) -> list[int]:
@@ -84,8 +85,10 @@ def consensus_survivors(df: DataFrame, group: list[str], row_id: str, value: str
 
     Tokens are the words of the value, compared in lower case.
     """
-    rows = df.select(*group, row_id, F.col(value).alias("value"), F.coalesce(weight, F.lit(0)).cast("double").alias("w"))
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias("group_id")).where(F.col("n") > 1).drop("n")
+    keys = [F.col(g).alias(f"__sl_g{i}") for i, g in enumerate(group)]
+    rows = df.select(*keys, F.col(row_id).alias("id"), F.col(value).alias("value"), F.coalesce(weight, F.lit(0)).cast("double").alias("w"))
+    group = [f"__sl_g{i}" for i in range(len(group))]
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("group_id")).where(F.col("n") > 1).drop("n")
     values = rows.where(F.trim("value") != "").groupBy(*group, "value").agg((F.sum("w") + F.count(F.lit(1)) * 1e-6).alias("w"))
     values = values.withColumn("tokens", F.split(F.trim(F.lower("value")), r"\s+"))
     heads = values.groupBy(*group).agg(F.max_by("tokens", F.struct("w", "value")).alias("seed"), F.sum("w").alias("total")).join(sizes, group)

@@ -82,13 +82,12 @@ def _texts(column: pa.Array) -> list[str | None]:
 
 
 def _mapped(df: DataFrame, made: str, kind: str, make) -> DataFrame:  # noqa: ANN001
-    if made in df.columns:
-        raise ValueError(f"{made} is already a column")
-    schema = df.withColumn(made, F.lit(None).cast(kind)).schema
+    kept = [c for c in df.columns if c != made]  # a column of that name is replaced
+    schema = df.select(*kept).withColumn(made, F.lit(None).cast(kind)).schema
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, make(b)], names=[*b.schema.names, made])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in kept], make(b)], names=[*kept, made])
 
     return df.mapInArrow(convert, schema)
 
