@@ -84,13 +84,13 @@ def inside(edges: Column, lat: Column, lon: Column) -> Column:
     return crossed % 2 == 1
 
 
-def region_index(regions: DataFrame, region_id: str = "zone_id", ring: str = "ring", step: float = 0.02) -> DataFrame:
+def region_index(regions: DataFrame, region_id: str = "zone_id", ring: str = "ring", step: float = 0.05) -> DataFrame:
     """The cells of all regions, marked for broadcast while they are few."""
     cells = region_cells(regions, region_id, ring, step)
     return F.broadcast(cells) if cells.count() <= BROADCAST_ROWS // 4 else cells
 
 
-def points_in_regions(points: DataFrame, cells: DataFrame, step: float = 0.02) -> DataFrame:
+def points_in_regions(points: DataFrame, cells: DataFrame, step: float = 0.05) -> DataFrame:
     """Pairs (left_key: region id, right_key: point key) of the points inside each region; cells come from region_index with the same step."""
     placed = points.withColumn("cy", F.floor(F.col("lat") / step)).withColumn("cx", F.floor(F.col("lon") / step))
     met = placed.join(cells, ["cy", "cx"]).where(inside(F.col("edges"), F.col("lat"), F.col("lon")))
