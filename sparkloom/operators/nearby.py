@@ -85,9 +85,10 @@ def inside(edges: Column, lat: Column, lon: Column) -> Column:
 
 
 def region_index(regions: DataFrame, region_id: str = "zone_id", ring: str = "ring", step: float = 0.05) -> DataFrame:
-    """The cells of all regions, marked for broadcast while they are few."""
+    """The cells of all regions, marked for broadcast while cells and edges (32 bytes each) are few."""
     cells = region_cells(regions, region_id, ring, step)
-    return F.broadcast(cells) if cells.count() <= BROADCAST_ROWS // 4 else cells
+    size = cells.agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("edges")).first()
+    return F.broadcast(cells) if size["cells"] <= BROADCAST_ROWS // 4 and size["edges"] <= 500_000 else cells
 
 
 def points_in_regions(points: DataFrame, cells: DataFrame, step: float = 0.05) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import engine, landing, relational
+from sparkloom.plans import engine, landing, relational, reports
 
-REGISTRIES = [landing.R, relational.R, engine.R]
+REGISTRIES = [landing.R, relational.R, engine.R, reports.R]
