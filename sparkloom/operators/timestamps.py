@@ -248,6 +248,6 @@ def with_utc_micros(df: DataFrame, text: str, out: str = "utc_us", zone: str = "
     return df.mapInArrow(convert, StructType([*[df.schema[c] for c in kept], StructField(out, LongType())]))
 
 
-def wall_day(spark: SparkSession, utc_us: Column, zone: str = "America/Halifax") -> Column:
-    """The calendar day of a moment in the zone."""
-    return F.to_date(F.from_utc_timestamp(F.timestamp_micros(utc_us), zone))
+def wall_day(utc_us: str, zone: str = "America/Halifax") -> Column:
+    """The calendar day in the zone of a column of moments, whatever the session's time zone."""
+    return F.expr(f"to_date(convert_timezone('UTC', '{zone}', timestampadd(MICROSECOND, `{utc_us}`, TIMESTAMP_NTZ '1970-01-01 00:00:00')))")

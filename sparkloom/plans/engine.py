@@ -70,7 +70,26 @@ def alloc_call_prorata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Ledgers and schedules --------------------------------------------------------
-@R.add("ref_b10_wac_ledger")
+_WAC = """
+WITH RECURSIVE o AS (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, qty, cents) AS n
+  FROM (SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_returnflag = 'R' AS is_issue, CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem)
+), s AS (
+  SELECT *, CASE WHEN is_issue THEN -qty ELSE qty END AS on_hand, CASE WHEN is_issue THEN 0 ELSE cents END AS value_left, CAST(0 AS BIGINT) AS issue_value, is_issue AND qty > 0 AS went_negative FROM o WHERE n = 1
+  UNION ALL
+  SELECT b.l_partkey, b.l_shipdate, b.l_orderkey, b.l_linenumber, b.l_suppkey, b.is_issue, b.qty, b.cents, b.n,
+    CASE WHEN b.is_issue THEN a.on_hand - b.qty ELSE a.on_hand + b.qty END,
+    CASE WHEN b.is_issue THEN a.value_left - t.taken ELSE a.value_left + b.cents END,
+    CASE WHEN b.is_issue THEN t.taken ELSE 0 END,
+    a.went_negative OR (b.is_issue AND a.on_hand - b.qty < 0)
+  FROM s a JOIN o b ON b.l_partkey = a.l_partkey AND b.n = a.n + 1,
+  LATERAL (SELECT CASE WHEN a.on_hand > 0 THEN CAST(sign(a.value_left) * ((2 * abs(CAST(a.value_left AS HUGEINT)) * b.qty + a.on_hand) // (2 * a.on_hand)) AS BIGINT) ELSE 0 END AS taken) t
+)
+SELECT l_partkey, l_shipdate, l_orderkey, l_linenumber, is_issue, qty, cents, CAST(on_hand AS BIGINT) AS on_hand, CAST(value_left AS BIGINT) AS value_left, CAST(issue_value AS BIGINT) AS issue_value, went_negative FROM s
+"""
+
+
+@R.add("ref_b10_wac_ledger", _WAC)
 def wac_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Perpetual weighted-average cost of each part: returns are issues, all other lines receipts."""
     rows = table(spark, sf, "lineitem").selectExpr("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag = 'R' AS is_issue", "CAST(l_quantity AS BIGINT) AS qty", f"{cents('l_extendedprice')} AS cents")

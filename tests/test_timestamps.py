@@ -77,6 +77,17 @@ def test_wall_time_like_zoneinfo(zone, at):
     assert zone.to_wall(np.array([want]))[0] == (there - datetime(1970, 1, 1)) // timedelta(seconds=1)
 
 
+@pytest.mark.parametrize("session", ["UTC", "Asia/Tokyo"])
+def test_wall_day(spark, session):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        df = spark.createDataFrame([(us(2020, 7, 1, 2, 59, 59),), (us(2020, 7, 1, 3),), (None,)], "at long")
+        assert [str(r.d) for r in df.select(T.wall_day("at").alias("d")).collect()] == ["2020-06-30", "2020-07-01", "None"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_table_with_clashing_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "2020-01-01", None), (1, "2020-01-01", 2.0), (2, None, 1.0)], "row_id long, text string, other double")
     assert sorted(r.row_id for r in T.with_utc_micros(df, "text").collect()) == [1, 1]
