@@ -49,7 +49,7 @@ def _dated_counts(spark: SparkSession, sf: str) -> DataFrame:
         )
         .where(F.col("hw") != "")
     )
-    return with_utc_micros(ready, "count_date").withColumn("day", wall_day(spark, F.col("utc_us")))
+    return with_utc_micros(ready, "count_date").withColumn("day", wall_day("utc_us"))
 
 
 @R.add("p7_found")
