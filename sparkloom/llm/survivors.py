@@ -3,13 +3,14 @@
 Two policies choose, field by field, the row that supplies the value:
 
 * `ranked_survivors`: the usable value of the highest rank (trust, then time, then smallest id).
-* `consensus_survivors`: the values of a group are aligned token by token, beginning from its
-  heaviest value; weighted tokens vote in each column of the alignment, and the existing value
-  closest to the consensus is taken. Equal values are summed up before anything is shuffled, the
-  alignment works value by value, and votes are sums, so a group of any size stays distributed.
+* `consensus_survivors`: the values of a group are aligned token by token to a profile that grows
+  with them, beginning from its heaviest value; weighted tokens vote in each column of the profile,
+  and the existing value closest to the consensus is taken. Equal values are summed up before
+  anything is shuffled. As each alignment depends on those before it, the distinct values of a group
+  pass through one task in order, of which only the profile is kept; distances stay distributed.
 
 Defined results: groups of one row have no survivor; a field without a usable value gives no row;
-null weights count as 0, ties go to the smallest row id (ranked) or the smaller value (consensus).
+null weights count as 0, weights count in millionths (plus one for each row), ties go to the smallest row id (ranked) or the smaller value (consensus).
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.operators.skew import hot_keys, salted_join
 
@@ -36,29 +38,65 @@ def ranked_survivors(df: DataFrame, group: list[str], row_id: str, rank: list[Co
     return groups.select("group_id", fields.alias("__sl_f")).where(F.col(f"__sl_f.{row_id}").isNotNull()).select("group_id", "__sl_f.*")
 
 
-def align_tokens(seed: list[str], tokens: list[str]) -> list[int]:
-    """For each token its column: 2k+1 for seed token k, 2k for what stands before it."""
-    n, m = len(seed), len(tokens)
-    cost = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if not i or not j:
-                cost[i][j] = i + j
-            else:
-                cost[i][j] = min(cost[i - 1][j - 1] + (0 if seed[i - 1] == tokens[j - 1] else 1), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+def align_tokens(columns: list, tokens: list[str], total: int = 1) -> list[int]:
+    """For each token its place in a profile: 2k+1 for column k, 2k for a new column before it.
+
+    A column is its tokens' weights, or the one token that all of `total` has there. A token costs the
+    weight of all that don't have it in its column (a new column: everyone), a column that gets no token
+    the weight it has. Of equally cheap alignments the one that puts tokens leftmost is taken, since
+    reports that are cut off lack their ends.
+    """
+    columns = [c if isinstance(c, dict) else {c: total} for c in columns]
+    left = [sum(c.values()) for c in columns]
+    n, m = len(columns), len(tokens)
+    cost = [[j * total for j in range(m + 1)]]
+    for c, gap in zip(columns, left, strict=True):
+        above, row = cost[-1], [cost[-1][0] + gap]
+        for j, t in enumerate(tokens):
+            row.append(min(above[j] + total - c.get(t, 0), above[j + 1] + gap, row[j] + total))
+        cost.append(row)
     out, i, j = [0] * m, n, m
     while j:
-        if i and cost[i][j] == cost[i - 1][j - 1] + (0 if seed[i - 1] == tokens[j - 1] else 1):
-            i, j = i - 1, j - 1
-            out[j] = 2 * i + 1
-        elif cost[i][j] == cost[i][j - 1] + 1:
+        if cost[i][j] == cost[i][j - 1] + total:
             j -= 1
             out[j] = 2 * i
-        else:
+        elif cost[i][j] == cost[i - 1][j] + left[i - 1]:
             i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out[j] = 2 * i + 1
     return out
 
 
+class Profile:
+    """The alignment of a group's values so far: columns of token weights. A value adds its weight to a column once at most."""
+
+    def __init__(self) -> None:
+        self.columns: list[dict[str, int]] = []
+        self.total = 0
+
+    def add(self, tokens: list[str], weight: int) -> None:
+        places = align_tokens(self.columns, tokens, self.total) if self.total else [0] * len(tokens)
+        grown, k = [], 0
+        for place, t in zip(places, tokens, strict=True):
+            while k < place // 2:
+                grown.append(self.columns[k])
+                k += 1
+            if place % 2:
+                grown.append(self.columns[k])
+                k += 1
+            else:
+                grown.append({})
+            grown[-1][t] = grown[-1].get(t, 0) + weight
+        self.columns = grown + self.columns[k:]
+        self.total += weight
+
+    def consensus(self) -> list[str]:
+        """The heaviest token of each column, unless the values without a token there weigh more."""
+        best = [(max((w, t) for t, w in c.items()), sum(c.values())) for c in self.columns]
+        return [t for (w, t), present in best if w >= self.total - present]
+
+
 def token_distance(a: list[str], b: list[str]) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -68,13 +106,41 @@ def token_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def _per_pair(df: DataFrame, a: str, b: str, made: str, kind: str, make) -> DataFrame:  # noqa: ANN001
-    schema = df.withColumn(made, F.lit(None).cast(kind)).schema
+def _agreed(values: DataFrame, group: list[str]) -> DataFrame:
+    """(group, consensus): the values of each group stream through its profile, the heaviest first; no group is collected."""
+    keys = [values.schema[g] for g in group]
+    ordered = values.select(*group, "w", "tokens", "value").repartition(*group).sortWithinPartitions(*group, F.desc("w"), F.desc("value"))
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, profile, kinds = None, Profile(), None
+
+        def made(done: list) -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k, _ in done], kind) for i, kind in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([c for _, c in done], pa.list_(pa.string()))], names=[*group, "consensus"])
+
+        for x in batches:
+            kinds, done = [x.schema.field(g).type for g in group], []
+            columns = [x.column(x.schema.get_field_index(c)).to_pylist() for c in [*group, "w", "tokens"]]
+            for *now, weight, tokens in zip(*columns, strict=True):
+                if now != key:
+                    if key is not None:
+                        done.append((key, profile.consensus()))
+                    key, profile = now, Profile()
+                profile.add(tokens, weight)
+            yield made(done)
+        if key is not None:
+            yield made([(key, profile.consensus())])
+
+    return ordered.mapInArrow(convert, T.StructType([*keys, T.StructField("consensus", T.ArrayType(T.StringType()))]))
+
+
+def _with_distance(df: DataFrame, a: str, b: str, made: str) -> DataFrame:
+    schema = df.withColumn(made, F.lit(None).cast("int")).schema
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             pairs = zip(x.column(x.schema.get_field_index(a)).to_pylist(), x.column(x.schema.get_field_index(b)).to_pylist(), strict=True)
-            values = pa.array([make(p or [], q or []) for p, q in pairs], pa.list_(pa.int32()) if kind == "array<int>" else pa.int32())
+            values = pa.array([token_distance(p or [], q or []) for p, q in pairs], pa.int32())
             yield pa.RecordBatch.from_arrays([*x.columns, values], names=[*x.schema.names, made])
 
     return df.mapInArrow(convert, schema)
@@ -89,14 +155,8 @@ def consensus_survivors(df: DataFrame, group: list[str], row_id: str, value: str
     rows = df.select(*keys, F.col(row_id).alias("id"), F.col(value).alias("value"), F.coalesce(weight, F.lit(0)).cast("double").alias("w"))
     group = [f"__sl_g{i}" for i in range(len(group))]
     sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("group_id")).where(F.col("n") > 1).drop("n")
-    values = rows.where(F.trim("value") != "").groupBy(*group, "value").agg((F.sum("w") + F.count(F.lit(1)) * 1e-6).alias("w"))
+    values = rows.where(F.trim("value") != "").groupBy(*group, "value").agg((F.round(F.sum("w") * 10**6).cast("bigint") + F.count(F.lit(1))).alias("w"))
     values = values.withColumn("tokens", F.split(F.trim(F.lower("value")), r"\s+"))
-    heads = values.groupBy(*group).agg(F.max_by("tokens", F.struct("w", "value")).alias("seed"), F.sum("w").alias("total")).join(sizes, group)
     hot = hot_keys(values, group, values.count())
-    met = _per_pair(salted_join(values, heads, group, ["value"], hot), "seed", "tokens", "slots", "array<int>", align_tokens)
-    votes = met.select(*group, "total", "w", F.explode(F.arrays_zip("slots", "tokens")).alias("v")).groupBy(*group, "v.slots", "v.tokens").agg(F.sum("w").alias("w"), F.first("total").alias("total"))
-    wins = votes.groupBy(*group, "slots").agg(F.max_by("tokens", F.struct("w", "tokens")).alias("token"), F.max("w").alias("w"), F.sum("w").alias("present"), F.first("total").alias("total"))
-    wins = wins.where(F.col("w") >= F.col("total") - F.col("present"))
-    agreed = wins.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("slots", "token"))), lambda x: x["token"]).alias("consensus"))
-    near = _per_pair(salted_join(values, agreed.join(sizes, group), group, ["value"], hot), "consensus", "tokens", "distance", "int", token_distance)
+    near = _with_distance(salted_join(values, _agreed(values, group).join(sizes, group), group, ["value"], hot), "consensus", "tokens", "distance")
     return near.groupBy("group_id").agg(F.array_join(F.first("consensus"), " ").alias("consensus"), F.min_by("value", F.struct("distance", -F.col("w"), "value")).alias("value"))

@@ -71,6 +71,29 @@ def test_consensus(spark):
     assert got == {0: "Main St to Oak Ave", 11: "x y"}
 
 
+def test_consensus_of_cut_off_reports(spark):
+    rows = [("cut", 0, "Vellum Court to", 6.0), ("cut", 1, "Vellum Court - Dovecote Blvd", 3.5), ("cut", 2, "Vellum Court to Dovecote Blvd", 3.0)]
+    rows += [("long", 10, "Exit 9", 3.0), ("long", 11, "Exit 9 to Cedar Hill Rd", 2.0), ("long", 12, "exit 9 to cedar hill road", 1.5)]
+    rows += [("few", 20, "A B", 3.0), ("few", 21, "A x x x B", 1.2), ("few", 22, "A x B", 1.0)]  # the insertion has 2.2 of 5.2, however often it stands there
+    rows += [("none", 30, "p", None), ("none", 31, None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, id long, v string, w double")
+    got = {r.group_id: (r.consensus, r.value) for r in survivors.consensus_survivors(df, ["g"], "id", "v", F.col("w")).collect()}
+    assert got == {
+        0: ("vellum court to dovecote blvd", "Vellum Court to Dovecote Blvd"), 10: ("exit 9 to cedar hill", "Exit 9 to Cedar Hill Rd"),
+        20: ("a b", "A B"), 30: ("p", "p"),
+    }
+
+
+def test_profile_counts_a_value_once_a_column():
+    rng = random.Random(8)
+    for _ in range(200):
+        p, values = survivors.Profile(), [([rng.choice("abcd") for _ in range(rng.randint(1, 7))], rng.randint(1, 9)) for _ in range(rng.randint(1, 6))]
+        for tokens_, w in values:
+            p.add(tokens_, w)
+        assert p.total == sum(w for _, w in values) and all(sum(c.values()) <= p.total for c in p.columns)
+        assert sum(sum(c.values()) for c in p.columns) == sum(len(t) * w for t, w in values)
+
+
 # Tokens ------------------------------------------------------------------------------
 needs_ranks = pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_RANKS), reason="no rank file")
 
