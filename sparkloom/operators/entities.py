@@ -26,6 +26,28 @@ def merge_entities(df: DataFrame, key: str, order: str, fields: list[str]) -> Da
     return df.groupBy(F.coalesce(F.col(key), F.concat(F.lit("row:"), F.col(order).cast("string"))).alias(key)).agg(F.count(F.lit(1)).alias("copies"), *picks, *clashes)
 
 
+def dominant_variant(df: DataFrame, key: str, variant: str, amount: str, name: str) -> DataFrame:
+    """(key, name): of each key the variant with the largest sum, then the most rows, then the smallest text.
+
+    Sums by key and variant, then a partial maximum; blank variants and null keys take no part, null amounts count as 0.
+    """
+    sums = df.where((F.trim(variant) != "") & F.col(key).isNotNull()).groupBy(key, variant).agg(F.sum(F.coalesce(amount, F.lit(0))).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    return sums.groupBy(key).agg(F.min_by(variant, F.struct(-F.col("_sum"), -F.col("_n"), variant)).alias(name))
+
+
+def resolve_terms(terms: DataFrame, nodes: DataFrame, prefix: str, preferred: str) -> DataFrame:
+    """(term, id): each distinct term's node, null if none: the id itself, else prefix + term, else a label in any case.
+
+    terms has `term`; nodes has `id` (unique), `type`, `label`. Of nodes with the same label one of the preferred
+    type wins, then the smallest id. Candidates are met by equality and ranked by a partial minimum.
+    """
+    asked = terms.select("term", F.trim("term").alias("_t")).where(F.col("_t") != "").distinct()
+    ways = [(F.col("_t"), F.col("id"), F.lit(0)), (F.concat(F.lit(prefix), "_t"), F.col("id"), F.lit(1)), (F.lower("_t"), F.lower("label"), F.when(F.col("type") == preferred, 2).otherwise(3))]
+    tried = reduce(DataFrame.unionByName, [asked.withColumn("_k", wanted).join(nodes.withColumn("_k", has), "_k").select("term", rank.alias("_rank"), "id") for wanted, has, rank in ways])
+    best = tried.groupBy("term").agg(F.min(F.struct("_rank", "id"))["id"].alias("id"))
+    return asked.select("term").distinct().join(best, "term", "left")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(id, rel, other, direction): each edge seen from both of its ends."""
     out = edges.select(F.col("src").alias("id"), "rel", F.col("dst").alias("other"), F.lit("out").alias("direction"))

@@ -31,6 +31,13 @@ def movement(df: DataFrame, key: str, period: str, amount: str) -> DataFrame:
     )
 
 
+def rates(moved: DataFrame) -> DataFrame:
+    """A movement with churn_rate, grr and nrr as ratios of its opening; null where it opens at zero."""
+    base = F.when(F.col("opening") > 0, F.col("opening").cast("double"))
+    kept = F.col("opening") - F.col("contraction") - F.col("churned")
+    return moved.withColumns({"churn_rate": F.col("churned") / base, "grr": kept / base, "nrr": (kept + F.col("expansion")) / base})
+
+
 def cohorts(df: DataFrame, key: str, period_index: str, amount: str) -> DataFrame:
     """(cohort, age, keys, amount): by the period of each key's first row and the distance to it."""
     first = df.groupBy(key).agg(F.min(period_index).alias("cohort"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import entities, ledger, reconcile, retention
 from sparkloom.operators.allocate import largest_remainder, rounded_then_corrected
 from sparkloom.operators.ranking import ranked
 from sparkloom.plans.registry import Registry
-from sparkloom.plans.sqltext import REVENUE, cents, r2
+from sparkloom.plans.sqltext import REVENUE, cents, r2, sql_query
 from sparkloom.sources import files
 from sparkloom.sources.tables import table
 from sparkloom.streaming.windows import hourly_counts
@@ -350,13 +352,148 @@ def erlang_agents(spark: SparkSession, sf: str) -> DataFrame:
     """The fewest agents that block at most 2 % of a load (Erlang B), by a fold over the candidates."""
     step = lambda s, n: F.struct((F.col("load") * s["b"] / (n + F.col("load") * s["b"])).alias("b"), F.when((F.col("load") * s["b"] / (n + F.col("load") * s["b"]) <= 0.02) & s["at"].isNull(), n.cast("bigint")).otherwise(s["at"]).alias("at"))
     loads = table(spark, sf, "part", "p_size").select(F.col("p_size").cast("double").alias("load")).distinct()
-    return loads.select("load", F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.struct(F.lit(1.0).alias("b"), F.lit(None).cast("bigint").alias("at")), step)["at"].alias("agents"))
+    return loads.select("load", F.aggregate(F.sequence(F.lit(1), F.lit(10_000)), F.struct(F.lit(1.0).alias("b"), F.lit(None).cast("bigint").alias("at")), step)["at"].alias("agents"))
+
+
+@R.add(
+    "ref_b43_erlang_c_agents",
+    "WITH RECURSIVE l AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS load FROM part), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS level FROM l "
+    "UNION ALL SELECT load, n + 1, nb, CASE WHEN n + 1 > load THEN greatest(0, 1 - nb / (1 - load / (n + 1) * (1 - nb)) * exp(-(n + 1 - load) * 20 / 180)) ELSE 0 END FROM (SELECT *, load * b / (n + 1 + load * b) AS nb FROM e WHERE level < 0.8 AND n < 10000)) "
+    "SELECT load, CAST(min(n) AS BIGINT) AS agents FROM e WHERE level >= 0.8 GROUP BY load",
+)
+def erlang_c_agents(spark: SparkSession, sf: str) -> DataFrame:
+    """The fewest agents (10,000 at most) that answer 80 % of a load's calls of 180 s within 20 s (Erlang C)."""
+    load = F.col("load")
+
+    def step(s: Column, n: Column) -> Column:
+        b = load * s["b"] / (n + load * s["b"])
+        level = F.greatest(F.lit(0.0), 1 - b / (1 - load / n * (1 - b)) * F.exp(-(n - load) * 20 / 180))
+        return F.struct(b.alias("b"), F.coalesce(s["at"], F.when((n > load) & (level >= 0.8), n.cast("bigint"))).alias("at"))
+
+    loads = table(spark, sf, "part", "p_size").select(F.col("p_size").cast("double").alias("load")).distinct()
+    return loads.select("load", F.aggregate(F.sequence(F.lit(1), F.lit(10_000)), F.struct(F.lit(1.0).alias("b"), F.lit(None).cast("bigint").alias("at")), step)["at"].alias("agents"))
 
 
-# Entities, graph, text ------------------------------------------------------------
 _CONTACTS = "SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN concat('user', CAST(c_custkey % 500 AS VARCHAR), '@example.org') WHEN c_custkey % 7 = 0 THEN ' ' END AS email, CASE WHEN c_custkey % 5 = 0 THEN concat('555-', CAST(c_custkey % 300 AS VARCHAR)) END AS phone, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS segment FROM customer"
 
 
+# The rest of B22, B25, B59, B60, B72, B82 and B95 ------------------------------------
+_AS_OF = "2001-06-30"
+_TARGET = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 10 WHEN '2' THEN 14 WHEN '3' THEN 21 ELSE 30 END"
+
+
+def _on(sql: str) -> tuple[str, str]:
+    """sql for Spark and for the twin: DAYS(a, b) are the days from a to b."""
+    return re.sub(r"DAYS\(([^,]+), ([^,]+)\)", r"datediff(\2, \1)", sql), re.sub(r"DAYS\(([^,]+), ([^,]+)\)", r"date_diff('day', \1, \2)", sql)
+
+
+sql_query(
+    R,
+    "ref_b22_open_aging",
+    *_on(
+        f"WITH s AS (SELECT l_orderkey, max(l_shipdate) AS closed FROM {{lineitem}} GROUP BY l_orderkey), o AS (SELECT DAYS(CAST(o_orderdate AS DATE), DATE '{_AS_OF}') AS days, {_TARGET} AS target FROM {{orders}} LEFT JOIN s ON o_orderkey = l_orderkey WHERE CAST(o_orderdate AS DATE) <= DATE '{_AS_OF}' AND (closed IS NULL OR CAST(closed AS DATE) > DATE '{_AS_OF}')), "
+        "b(bucket, lo, hi) AS (VALUES ('0-7', 0, 7), ('8-14', 8, 14), ('15-30', 15, 30), ('31+', 31, 9999999)), a AS (SELECT CASE WHEN days <= 7 THEN 0 WHEN days <= 14 THEN 8 WHEN days <= 30 THEN 15 ELSE 31 END AS lo, count(*) AS n, count(*) FILTER (WHERE days > target) AS late FROM o GROUP BY 1) "
+        "SELECT bucket, coalesce(n, 0) AS open_count, coalesce(late, 0) AS overdue FROM b LEFT JOIN a ON a.lo = b.lo"
+    ),
+)
+
+sql_query(
+    R,
+    "ref_b25_maturity_ladder",
+    *_on(
+        f"WITH d AS (SELECT DAYS(DATE '{_AS_OF}', CAST(l_shipdate AS DATE)) AS days, {cents('l_extendedprice')} AS cents FROM {{lineitem}} WHERE l_shipdate IS NOT NULL), k AS (SELECT CASE WHEN days < 0 THEN 0 WHEN days >= 91 THEN 14 ELSE CAST(floor(days / 7) AS INTEGER) + 1 END AS step, cents FROM d), "
+        "t AS (SELECT step, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents FROM k GROUP BY step), w(step) AS (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14)), f AS (SELECT w.step, coalesce(n, 0) AS n, coalesce(cents, 0) AS cents FROM w LEFT JOIN t ON t.step = w.step), late AS (SELECT cents AS overdue FROM f WHERE step = 0) "
+        "SELECT step, CASE WHEN step = 0 THEN 'Overdue' WHEN step = 14 THEN 'Beyond' ELSE concat('W', CAST(step AS VARCHAR(2))) END AS label, n, cents, step BETWEEN 1 AND 13 AND cents >= 50000000 AS heavy, CAST(CASE WHEN step = 1 THEN cents + overdue WHEN step BETWEEN 2 AND 13 THEN cents END AS BIGINT) AS debt_due FROM f CROSS JOIN late"
+    ),
+)
+
+# A line assigns its supplier to its order's shift: at orderkey % 3 * 4 + 8 o'clock for six hours, 2 to 4 needed; cleared means a balance of 0 or more.
+_ASSIGNED = (
+    "x AS (SELECT l_orderkey, l_linenumber, l_suppkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS rn FROM {lineitem}), "
+    "j AS (SELECT l_orderkey, l_linenumber, l_suppkey, o_orderdate, CASE WHEN o_orderkey IS NULL THEN 'no_shift' WHEN rn > 1 THEN 'duplicate' WHEN s_suppkey IS NULL THEN 'not_on_roster' WHEN s_acctbal >= 0 THEN 'counted' ELSE 'not_cleared' END AS outcome FROM x LEFT JOIN {orders} ON o_orderkey = l_orderkey LEFT JOIN {supplier} ON s_suppkey = l_suppkey)"
+)
+sql_query(
+    R,
+    "ref_b59_shift_coverage",
+    f"WITH {_ASSIGNED}, c AS (SELECT l_orderkey, count(*) AS n FROM j WHERE outcome = 'counted' GROUP BY l_orderkey) SELECT o_orderkey AS shift, coalesce(n, 0) AS cleared, CASE WHEN o_orderdate IS NULL THEN 'invalid' WHEN coalesce(n, 0) < 2 THEN 'understaffed' WHEN n > 4 THEN 'overstaffed' ELSE 'ok' END AS status FROM {{orders}} LEFT JOIN c ON o_orderkey = l_orderkey",
+)
+sql_query(R, "ref_b59_rejected_assignments", f"WITH {_ASSIGNED} SELECT l_orderkey AS shift, l_linenumber, l_suppkey, outcome AS reason FROM j WHERE outcome <> 'counted'")
+sql_query(
+    R,
+    "ref_b59_double_booking",
+    f"WITH {_ASSIGNED}, c AS (SELECT l_suppkey, l_orderkey AS shift, CAST(o_orderdate AS DATE) AS day, l_orderkey % 3 * 4 + 8 AS h FROM j WHERE outcome = 'counted' AND o_orderdate IS NOT NULL) SELECT a.l_suppkey, a.day, a.shift AS shift_a, b.shift AS shift_b FROM c a JOIN c b ON a.l_suppkey = b.l_suppkey AND a.day = b.day AND a.shift < b.shift AND a.h < b.h + 6 AND b.h < a.h + 6",
+)
+
+# An event is an entry of event_id % 36 + 5 minutes, of 500 for each 97th.
+_ENTRIES = "SELECT user_id, event_id, ts, CAST(CASE WHEN event_id % 97 = 0 THEN 500 ELSE event_id % 36 + 5 END AS BIGINT) AS minutes FROM events"
+
+
+@R.add(
+    "ref_b60_hours_anomalies",
+    f"WITH e AS ({_ENTRIES}), i AS (SELECT *, CAST(ts AS DATE) AS day, ts + minutes * INTERVAL 1 MINUTE AS till FROM e) "
+    "SELECT 'excessive-entry' AS type, user_id, day, event_id AS item, CAST(NULL AS BIGINT) AS other, minutes FROM i WHERE minutes > 480 "
+    "UNION ALL SELECT 'excessive-day', user_id, day, NULL, NULL, CAST(sum(minutes) AS BIGINT) FROM i GROUP BY user_id, day HAVING sum(minutes) > 600 "
+    "UNION ALL SELECT 'overlap', a.user_id, a.day, a.event_id, b.event_id, NULL FROM i a JOIN i b ON a.user_id = b.user_id AND a.day = b.day AND a.event_id < b.event_id AND a.ts < b.till AND b.ts < a.till",
+)
+def hours_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries over 480 minutes, days over 600, and pairs of a user's entries on one day that overlap."""
+    e = spark.sql(_ENTRIES.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events")).withColumn("day", F.to_date("ts"))
+    none = F.lit(None).cast("bigint")
+    entry = e.where("minutes > 480").select(F.lit("excessive-entry").alias("type"), "user_id", "day", F.col("event_id").alias("item"), none.alias("other"), "minutes")
+    day = e.groupBy("user_id", "day").agg(F.sum("minutes").alias("minutes")).where("minutes > 600").select(F.lit("excessive-day").alias("type"), "user_id", "day", none.alias("item"), none.alias("other"), "minutes")
+    spans = e.selectExpr("user_id", "day", "event_id", "CAST(ts AS TIMESTAMP) AS s", "CAST(ts AS TIMESTAMP) + make_dt_interval(0, 0, CAST(minutes AS INT)) AS e")
+    pairs = reconcile.overlapping_pairs(spans, ["user_id", "day"], "event_id", "s", "e").select(F.lit("overlap").alias("type"), "user_id", "day", F.col("left").alias("item"), F.col("right").alias("other"), none.alias("minutes"))
+    return entry.unionByName(day).unionByName(pairs)
+
+
+sql_query(
+    R,
+    "ref_b60_milestones",
+    f"WITH e AS ({_ENTRIES.replace('FROM events', 'FROM {events}')}), t AS (SELECT user_id, count(*) AS entries, CAST(sum(minutes) AS BIGINT) AS minutes FROM e GROUP BY user_id) SELECT user_id, entries, minutes, CASE WHEN minutes >= 6000 THEN 100 WHEN minutes >= 3000 THEN 50 WHEN minutes >= 1500 THEN 25 WHEN minutes >= 600 THEN 10 END AS milestone FROM t",
+)
+
+
+@R.add(
+    "ref_b72_display_name",
+    f"WITH c AS ({_CONTACTS}), k AS (SELECT c.*, coalesce(CASE WHEN trim(email) <> '' THEN '0:' || trim(email) END, CASE WHEN trim(phone) <> '' THEN '1:' || trim(phone) END, '2:' || trim(name)) AS key, {cents('c_acctbal')} AS amount FROM c JOIN customer ON c_custkey = seq), "
+    "v AS (SELECT key, name, sum(coalesce(amount, 0)) AS s, count(*) AS n FROM k WHERE key IS NOT NULL AND trim(name) <> '' GROUP BY key, name) SELECT key, name AS display_name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, n DESC, name) AS rn FROM v) WHERE rn = 1",
+)
+def display_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each merged contact the name with the largest balance, then the most rows."""
+    contacts = _CONTACTS.replace(" FROM customer", f", {cents('c_acctbal')} AS amount FROM {{customer}}").replace("VARCHAR", "STRING")
+    c = spark.sql(contacts, customer=table(spark, sf, "customer")).withColumn("key", entities.match_key(F.col("email"), F.col("phone"), F.col("name")))
+    return entities.dominant_variant(c, "key", "name", "amount", "display_name")
+
+
+@R.add(
+    "ref_b82_retention_rates",
+    f"SELECT m, {r2('churned / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS churn_rate, {r2('(opening - contraction - churned) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS grr, {r2('(opening - contraction - churned + expansion) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS nrr FROM ({R.sql['ref_b80_b82_mrr_movement']})",
+)
+def retention_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Churn rate, gross and net revenue retention of each month; null in a month that opens at zero."""
+    return retention.rates(mrr_movement(spark, sf)).selectExpr("m", *[f"{r2(c, 6)} AS {c}" for c in ("churn_rate", "grr", "nrr")])
+
+
+_NODES = "SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS id, 'supplier' AS type, s_name AS label FROM supplier UNION ALL SELECT concat('n', CAST(n_nationkey AS VARCHAR)), 'nation', n_name FROM nation UNION ALL SELECT concat('r', CAST(r_regionkey AS VARCHAR)), 'region', r_name FROM region"
+_TERMS = "SELECT upper(label) AS term FROM ({n}) n UNION ALL SELECT id FROM ({n}) n UNION ALL SELECT substr(id, 2) FROM ({n}) n UNION ALL SELECT concat(label, '?') FROM ({n}) n"
+
+
+@R.add(
+    "ref_b95_term_resolution",
+    f"WITH n AS ({_NODES}), t AS (SELECT DISTINCT term FROM ({_TERMS.replace('({n}) n', 'n')})), c AS (SELECT term, id, CASE WHEN id = trim(term) THEN 0 WHEN id = 's' || trim(term) THEN 1 WHEN type = 'supplier' THEN 2 ELSE 3 END AS rk FROM t JOIN n ON id = trim(term) OR id = 's' || trim(term) OR lower(label) = lower(trim(term))) "
+    "SELECT t.term, x.id FROM t LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY term ORDER BY rk, id) AS rn FROM c) x ON x.term = t.term AND rn = 1",
+)
+def term_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids, bare supplier numbers, labels in another case and unknown words, each with the node it means."""
+    text = _NODES.replace("VARCHAR", "STRING")
+    nodes = spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", text), **{t: table(spark, sf, t) for t in ("supplier", "nation", "region")})
+    terms = spark.sql(_TERMS.replace("({n})", "{n}"), n=nodes)
+    return entities.resolve_terms(terms, nodes, "s", "supplier")
+
+
+# Entities, graph, text ------------------------------------------------------------
+
+
 @R.add(
     "ref_b72_b90_b91_entity_merge",
     f"WITH c AS ({_CONTACTS}), k AS (SELECT *, coalesce(CASE WHEN trim(email) <> '' THEN '0:' || trim(email) END, CASE WHEN trim(phone) <> '' THEN '1:' || trim(phone) END, '2:' || trim(name)) AS key FROM c) SELECT key, count(*) AS copies, arg_min(segment, seq) FILTER (WHERE segment IS NOT NULL) AS segment, arg_min(name, seq) AS name, coalesce(min(segment) <> max(segment), false) AS segment_conflict, coalesce(min(name) <> max(name), false) AS name_conflict FROM k GROUP BY key",

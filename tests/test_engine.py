@@ -157,3 +157,29 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("hourly").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("hourly").collect())) == sorted(map(tuple, hourly_counts(events).collect()))
+
+
+def test_dominant_variant(spark):
+    rows = [("k", "Rare", 1), ("k", "Usual", 2), ("k", "Usual", 2), ("k", " ", 99), ("t", "b", 3), ("t", "a", 3), ("m", "two", 1), ("m", "two", 1), ("m", "one", 2), ("z", "x", None), (None, "y", 5)]
+    got = entities.dominant_variant(spark.createDataFrame(rows, "k string, v string, a long"), "k", "v", "a", "name").collect()
+    assert {r.k: r.name for r in got} == {"k": "Usual", "t": "a", "m": "two", "z": "x"}
+
+
+def test_resolve_terms(spark):
+    nodes = spark.createDataFrame([("e:fire", "element", "Fire"), ("m:fire", "materia", "Fire"), ("m:ice", "materia", "Blizzard"), ("a:x", "area", "Ice"), ("b:y", "area", "Twin"), ("a:y", "area", "twin")], "id string, type string, label string")
+    want = {"FIRE": "m:fire", "e:fire": "e:fire", " ice ": "m:ice", "ICE": "a:x", "TWIN": "a:y", "nothing": None}
+    terms = spark.createDataFrame([(t,) for t in [*want, "FIRE", " ", None]], "term string")
+    assert {r.term: r.id for r in entities.resolve_terms(terms, nodes, "m:", "materia").collect()} == want
+
+
+def test_retention_rates(spark):
+    moved = spark.createDataFrame([(1, 0, 50, 0, 0, 0), (2, 100, 0, 30, 10, 20)], "m int, opening long, new long, expansion long, contraction long, churned long")
+    got = {r.m: (r.churn_rate, r.grr, r.nrr) for r in retention.rates(moved).collect()}
+    assert got == {1: (None, None, None), 2: (0.2, 0.7, 1.0)}
+
+
+def test_operators_of_named_ids_exist():
+    from sparkloom.plans import engine
+
+    for name in ("b22_open_aging", "b25_maturity_ladder", "b43_erlang_c_agents", "b59_shift_coverage", "b59_rejected_assignments", "b59_double_booking", "b60_hours_anomalies", "b60_milestones", "b72_display_name", "b82_retention_rates", "b95_term_resolution"):
+        assert f"ref_{name}" in engine.R.sql
