@@ -15,6 +15,7 @@ from sparkloom.llm.survivors import consensus_survivors, ranked_survivors
 from sparkloom.llm.tokens import with_ids, with_text, with_token_count
 from sparkloom.operators.timestamps import wall_day, with_utc_micros
 from sparkloom.plans.registry import Registry
+from sparkloom.session import written
 from sparkloom.sources.tables import table
 
 R = Registry()
@@ -44,7 +45,7 @@ def _dated_counts(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("_code", F.upper(F.trim("county")))
         .join(codes, "_code", "left")
         .select(
-            "row_id", "count_date", "loaded_at", number(1).alias("hw"), number(2).alias("sec"), F.coalesce("trust", F.lit(0)).alias("trust"), "section_description",
+            "row_id", "count_date", "loaded_at", number(1).alias("hw"), number(2).alias("sec"), F.coalesce("trust", F.lit(0)).alias("trust"), "county", "section_description",
             F.coalesce("_known", F.lit(False)).alias("county_ok"), F.coalesce(F.length(fold_ws(F.col("section_description"))) >= USABLE_LENGTH, F.lit(False)).alias("description_ok"),
         )
         .where(F.col("hw") != "")
@@ -62,9 +63,14 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("p7_consensus")
 def p7_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """The description of each count that is closest to the token-level consensus of its reports."""
-    counts = _dated_counts(spark, sf).where(F.col("description_ok"))
-    return consensus_survivors(counts, ["hw", "sec", "day"], "row_id", "section_description", F.col("trust") + 1)
+    """For each field of a count reported more than once the usable value closest to the token-level consensus of its reports.
+
+    Counts are those of p7_found, with the same group_id, also where only one report's value is usable.
+    """
+    counts = written(_dated_counts(spark, sf))
+    usable = {"county": "county_ok", "section_description": "description_ok"}
+    found = [consensus_survivors(counts.withColumn(f, F.when(F.col(ok), F.col(f))), ["hw", "sec", "day"], "row_id", f, F.col("trust") + 1).withColumn("field", F.lit(f)) for f, ok in usable.items()]
+    return reduce(DataFrame.unionByName, found).select("group_id", "field", "consensus", "value")
 
 
 @R.add("p8_ids")

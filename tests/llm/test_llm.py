@@ -94,6 +94,12 @@ def test_profile_counts_a_value_once_a_column():
         assert sum(sum(c.values()) for c in p.columns) == sum(len(t) * w for t, w in values)
 
 
+def test_p7_consensus_has_each_field_of_each_count(spark, sf):
+    want = {(r.group_id, r.field) for r in Q.p7_found(spark, sf).collect()}
+    got = [(r.group_id, r.field) for r in Q.p7_consensus(spark, sf).collect()]
+    assert {f for _, f in got} == {"county", "section_description"} and len(got) == len(set(got)) and set(got) == want
+
+
 # Tokens ------------------------------------------------------------------------------
 needs_ranks = pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_RANKS), reason="no rank file")
 
