@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,21 +55,23 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("dst").alias("id"), "rel", F.col("src").alias("other"), F.lit("in").alias("direction")))
 
 
-def distances(edges: DataFrame, start: str, most: int = 50) -> DataFrame:
+def distances(edges: DataFrame, start: str, most: int | None = None) -> DataFrame:
     """(id, distance) of all nodes reached from start over undirected edges, breadth first.
 
     Each round joins only the newest ring with the edges and is written to the shared folder; the
-    loop ends when a ring is empty or `most` steps are done.
+    loop ends when a ring is empty. With `most`, a graph that reaches farther is an error, never a cut result.
     """
     both = neighbours(edges).select("id", "other").where(F.col("id").isNotNull() & F.col("other").isNotNull()).distinct()
     both = written(both)
     spark = edges.sparkSession
     rings = [written(spark.createDataFrame([(start, 0)], "id string, distance int"))]
-    for step in range(1, most + 1):
+    for step in count(1):
         seen = reduce(DataFrame.unionByName, rings[-2:])
         ring = written(both.join(rings[-1].select("id"), "id").select(F.col("other").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(step)))
         if ring.isEmpty():
             break
+        if most is not None and step > most:
+            raise ValueError(f"nodes farther than {most} steps from {start}")
         rings.append(ring)
     return reduce(DataFrame.unionByName, rings)
 

@@ -183,3 +183,12 @@ def test_operators_of_named_ids_exist():
 
     for name in ("b22_open_aging", "b25_maturity_ladder", "b43_erlang_c_agents", "b59_shift_coverage", "b59_rejected_assignments", "b59_double_booking", "b60_hours_anomalies", "b60_milestones", "b72_display_name", "b82_retention_rates", "b95_term_resolution"):
         assert f"ref_{name}" in engine.R.sql
+
+
+def test_distances_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"c{i}", "next", f"c{i + 1}") for i in range(53)], "src string, rel string, dst string")
+    assert {r.id: r.distance for r in entities.distances(edges, "c0").collect()} == {f"c{i}": i for i in range(54)}
+    short = edges.where("src IN ('c0', 'c1', 'c2')")
+    assert entities.distances(short, "c0", most=3).count() == 4
+    with pytest.raises(ValueError, match="farther than 2"):
+        entities.distances(short, "c0", most=2)
