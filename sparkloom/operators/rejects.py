@@ -1,8 +1,8 @@
 """Rows that fail to parse, with the reason, while the rest load.
 
-Lines are read permissively under an explicit schema that keeps the corrupt text; every line is
-then classified by quoting, by the number of fields and by casts, so that lines the reader
-accepts too leniently are caught as well. All of it is built-in expressions, without a shuffle.
+Lines are read permissively under an explicit schema that keeps the corrupt text. The reason is
+made apart from that reading, by patterns over the raw line: by quoting, by the number of fields
+and by casts. All of it is built-in expressions, without a shuffle.
 
 Defined results: a null line is no record and no case; an empty line is one empty field; null and
 blank values are no faults; very long lines are read whole (the patterns are possessive, so they
