@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import fold_ws
 from sparkloom.llm.lookalike import char_frequencies, match_disguised, rewrite_rules
 from sparkloom.llm.mixing import mix, share_report, sized_documents, source_rates
-from sparkloom.llm.subjects import subjects_of
+from sparkloom.llm.subjects import fitted, leaf_report, subjects_of
 from sparkloom.llm.survivors import consensus_survivors, ranked_survivors
 from sparkloom.llm.tokens import with_ids, with_text, with_token_count
 from sparkloom.operators.timestamps import wall_day, with_utc_micros
@@ -104,8 +104,12 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return share_report(mix(sized, rates, "doc_id", "source"), rates, "source", "n_tokens")
 
 
+def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "doc_labels", "doc_id", "subject"), table(spark, sf, "subjects", "subject")
+
+
 def _subjects(spark: SparkSession, sf: str) -> DataFrame:
-    return subjects_of(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "doc_labels", "doc_id", "subject"), table(spark, sf, "subjects", "subject"))
+    return subjects_of(*_inputs(spark, sf))
 
 
 @R.add("p10_found")
@@ -118,3 +122,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     """How many documents and sentences of the corpus each subject has."""
     return _subjects(spark, sf).groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"), F.sum("sentences").alias("sentences"))
+
+
+@R.add("p10_leaves")
+def p10_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves that documents were clustered into: size, discriminative words, and the subject each leans to."""
+    docs, labels, subjects = _inputs(spark, sf)
+    return leaf_report(docs, fitted(docs, labels, subjects)[1]).withColumn("terms", F.array_join("terms", " "))

@@ -185,6 +185,45 @@ def test_subjects_held_out(spark):
     assert subjects.subjects_of(d.limit(0), lab, sub, settings=s).count() == 0
 
 
+def test_words_are_never_dropped():
+    chinese = "港口委员会批准了新的灯塔维修预算" * 8
+    codes = lambda t: subjects.Coder().codes([t])
+    assert subjects.tokens_of("港口委") == ["港口", "口委"] and subjects.tokens_of("字") == ["字"]
+    assert len(codes(chinese)[0]) == len(chinese) - 1
+    assert [len(x) for x in codes(chinese + "。" + chinese)[:2]] == [2 * len(chinese) - 2, 2]
+    assert codes("x" * 500)[2].tolist() == [1]
+    long_tag = '<a title="' + "t" * 900 + '" href=x>one</a> two'
+    assert subjects.tokens_of(long_tag) == ["one", "two"]
+    assert subjects.tokens_of("a <b and c") == ["a", "b", "and", "c"]
+    assert subjects.tokens_of("In Plover." + "=" * 60 + "Next line") == ["in", "plover", ".\n", "next", "line"]
+    assert subjects.tokens_of("see 8ww+PS1VrZm1bC1nNSTKvJetNoNUygNwP95BNDSz0kNwG68kENuTQAwxpuJD here") == ["see", "here"]
+    words, sizes, per_text, sentences = subjects.Coder().codes(["One two. Three!", None, "", " ", "A\nb c"])
+    assert sizes.tolist() == [2, 1, 1, 2] and per_text.tolist() == [3, 0, 0, 0, 3] and sentences.tolist() == [2, 0, 0, 0, 2] and len(words) == 6
+
+
+def test_unspaced_documents_have_subjects(spark):
+    about = {"harbour": "港口委员会批准了灯塔维修", "school": "学校董事会讨论了教师招聘"}
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        name = rng.choice(list(about))
+        docs.append((i, "。".join(about[name] + rng.choice("一二三四五六七八") * 3 for _ in range(rng.randint(3, 6))) + "。"))
+        labels.append((i, name))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([x for x in labels if x[0] % 4 == 0], "doc_id long, subject string")
+    got = {r.doc_id: r.subject for r in subjects.subjects_of(d, lab, spark.createDataFrame([(x,) for x in about], "subject string"), settings=subjects.Settings(leaves=4)).collect()}
+    assert np.mean([got.get(i) == name for i, name in labels if i % 4]) > 0.95
+
+
+def test_bisecting_centres():
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(6, 8)) * 10
+    x = np.concatenate([m + rng.normal(size=(50, 8)) * 0.1 for m in middles])
+    found = subjects.bisecting_centres(x, 6, 8)
+    assert len(found) == 6 and len(set(subjects.leaf_of(middles, found))) == 6
+    assert len(subjects.bisecting_centres(np.ones((9, 4)), 6, 8)) == 1 and subjects.bisecting_centres(np.zeros((0, 4)), 6, 8).shape == (1, 4)
+
+
 @needs_ranks
 def test_queries_run(spark, sf):
     for name, query in Q.R.queries.items():
