@@ -1,9 +1,9 @@
 """References to records that do not exist, are gone, or came later.
 
-A Bloom filter of the parent keys (its size is a parameter, so its broadcast is bounded) proves
-the definite orphans; only references that pass it are verified by an exact join with the
-parents, which are first brought to one row per key. Too many keys for the filter make more
-false positives, never a wrong result.
+Parents are brought to one row per key once, written to the shared folder. A Bloom filter of their keys, split
+by a hash of the key into parts of 8 MB at most, is broadcast; it proves the definite orphans, which need no
+join. Only references that pass it are verified by an exact join with the parents. The filter has up to 16
+parts (room for about 100 million keys at ten bits each); more keys make more false positives, never a wrong result.
 
 Defined results: a reference without a usable key is no case; an empty parent table makes every
 reference `missing`; ties for the latest parent row go to the larger tie-break column.
@@ -11,14 +11,21 @@ reference `missing`; ties for the latest parent row go to the larger tie-break c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from sparkloom.functions.text import strip_ws
 from sparkloom.operators.skew import bounded_broadcast, hot_keys, salted_join
+from sparkloom.session import written
 
-MAX_FILTER_BITS = 64 << 20  # 8 MB
+MAX_FILTER_BITS = 64 << 20  # 8 MB a part
+MAX_PARTS = 16
+HASHES = 4
+_PAGE = 1 << 15  # bits that Spark's bitmap functions keep together
 
 
 def reference_key(c: Column) -> Column:
@@ -27,20 +34,50 @@ def reference_key(c: Column) -> Column:
     return F.when(k.rlike(r"\p{Nd}"), k)
 
 
-def bloom_filter(keys: DataFrame, key: str, expected: int, max_bits: int = MAX_FILTER_BITS) -> bytes | None:
-    """A serialised Bloom filter of the keys, about ten bits a key and never more than max_bits; None without keys."""
-    bits = max(1024, min(max_bits, 10 * expected))
-    made = InternalFunction._invoke_internal_function_over_columns("bloom_filter_agg", F.xxhash64(key), F.lit(max(1, expected)).cast("long"), F.lit(bits).cast("long"))
-    return keys.agg(made.alias("f")).first()["f"]
+class BloomFilter:
+    """Bits of a set of keys, in parts: one array of bytes each."""
+
+    def __init__(self, parts: list[np.ndarray]) -> None:
+        self.parts = parts
+
+    def might_contain(self, hashes: np.ndarray) -> np.ndarray:
+        """Which 64-bit hashes may be among those of the keys; False is certain."""
+        h = hashes.astype(np.uint64)
+        part = (h >> np.uint64(56)).astype(np.int64) % len(self.parts)
+        out = np.ones(len(h), bool)
+        for k, bits in enumerate(self.parts):
+            here = np.flatnonzero(part == k)
+            size = np.uint64(len(bits) * 8)
+            for i in range(HASHES):
+                at = ((h[here] + np.uint64(i) * ((h[here] >> np.uint64(17)) | np.uint64(1))) & (size - np.uint64(1))).astype(np.int64)
+                out[here] &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def bloom_filter(keys: DataFrame, key: str, expected: int, max_bits: int = MAX_FILTER_BITS, max_parts: int = MAX_PARTS) -> BloomFilter:
+    """The filter of the keys, ten bits a key or more, in a power of two of bits a part; made from Spark's bitmap aggregates."""
+    parts = min(max_parts, -(-10 * max(1, expected) // max_bits))
+    size = min(max_bits, max(_PAGE, 1 << int(10 * max(1, expected) / parts - 1).bit_length()))
+    size = max(_PAGE, 1 << (size.bit_length() - 1))
+    h = F.xxhash64(key)
+    step = F.shiftrightunsigned(h, 17).bitwiseOR(F.lit(1))
+    spots = keys.select(F.pmod(F.shiftrightunsigned(h, 56), F.lit(parts)).alias("part"), F.explode(F.array(*[(h + step * i).bitwiseAND(F.lit(size - 1)) for i in range(HASHES)])).alias("at"))
+    spots = spots.select("part", F.floor(F.col("at") / _PAGE).alias("page"), F.pmod("at", F.lit(_PAGE)).alias("bit"))
+    made = [np.zeros(size // 8, np.uint8) for _ in range(parts)]
+    for r in spots.groupBy("part", "page").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # at most max_parts x max_bits in all
+        made[r["part"]][r["page"] * (_PAGE // 8) : (r["page"] + 1) * (_PAGE // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return BloomFilter(made)
+
+
+def broadcast_test(keys: DataFrame, key: str, expected: int) -> Callable[[Column], Column]:
+    """A test whether a key may be among the keys, through a broadcast filter; only hashes pass to Python, in Arrow batches."""
+    shared = keys.sparkSession.sparkContext.broadcast(bloom_filter(keys, key, expected))
 
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(shared.value.might_contain(hashes.to_numpy(zero_copy_only=False)))
 
-def might_contain(spark: SparkSession, filter_bytes: bytes | None, key: str) -> Column:
-    """Whether a key may be among those of the filter; the filter travels with the plan."""
-    if filter_bytes is None:
-        return F.lit(False)
-    sql = spark._jvm.org.apache.spark.sql
-    parts = [sql.classic.ExpressionUtils.expression(c._jc) for c in (F.lit(bytearray(filter_bytes)), F.xxhash64(key))]
-    return Column(sql.classic.ExpressionUtils.column(sql.catalyst.expressions.BloomFilterMightContain(*parts)))
+    return lambda c: test(F.xxhash64(c))
 
 
 def orphan_references(
@@ -51,17 +88,18 @@ def orphan_references(
     keyed = parents.select(
         reference_key(F.col(parent_key)).alias("__sl_key"), F.col(parent_time).alias("__sl_at"), F.upper(F.trim(parent_status)).alias("__sl_status"), F.col(parent_tie).alias("__sl_tie")
     ).where(F.col("__sl_key").isNotNull())
-    stats = keyed.agg(F.approx_count_distinct("__sl_key").alias("n"), F.max(F.length("__sl_key")).alias("width")).first()
-    n = int((stats["n"] or 0) * 1.1) + 1
-    passed = might_contain(children.sparkSession, bloom_filter(keyed, "__sl_key", n), "__sl_key")
-    proven = kids.where(~passed).withColumn("reason", F.lit("missing"))
-    state = keyed.groupBy("__sl_key").agg(F.max_by("__sl_status", F.struct("__sl_at", "__sl_tie")).alias("__sl_last"), F.min("__sl_at").alias("__sl_first"))
-    maybe = kids.where(passed)
-    small = bounded_broadcast(state, n, 4 * (stats["width"] or 0) + 64)
-    if small is not state:
-        met = maybe.join(small, "__sl_key", "left")
-    else:
-        met = salted_join(maybe, state, ["__sl_key"], [c for c in kids.columns if c not in (child_key, "__sl_key")] or [child_key], hot_keys(maybe, ["__sl_key"], maybe.count()), "left")
+    state = written(keyed.groupBy("__sl_key").agg(F.max_by("__sl_status", F.struct("__sl_at", "__sl_tie")).alias("__sl_last"), F.min("__sl_at").alias("__sl_first")))
+    size = state.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("__sl_key")).alias("width")).first()
+    passed = broadcast_test(state, "__sl_key", size["n"])(F.col("__sl_key"))
+    small = bounded_broadcast(state, size["n"], 4 * (size["width"] or 0) + 64)
     reason = F.when(F.col("__sl_first").isNull(), "missing").when(F.col("__sl_last") == removed, "deleted").when(F.col("__sl_first") > F.col(child_time), "late")
-    verified = met.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(proven.columns)
-    return proven.unionByName(verified).drop("__sl_key")
+    made = [*[c for c in kids.columns if c != "__sl_key"], "reason"]
+    if small is not state:  # one pass over the children: a proven orphan's key is left out of the join
+        tested = kids.withColumn("__sl_key", F.when(passed, F.col("__sl_key")))
+        return tested.join(small, "__sl_key", "left").withColumn("reason", reason).where(F.col("reason").isNotNull()).select(made)
+    tested = kids.withColumn("__sl_passed", passed)
+    proven = tested.where(~F.col("__sl_passed")).withColumn("reason", F.lit("missing")).select(made)
+    maybe = tested.where("__sl_passed")
+    spread = [c for c in kids.columns if c not in (child_key, "__sl_key")] or [child_key]
+    met = salted_join(maybe, state, ["__sl_key"], spread, hot_keys(maybe, ["__sl_key"]), "left")
+    return proven.unionByName(met.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(made))

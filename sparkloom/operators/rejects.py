@@ -1,8 +1,10 @@
 """Rows that fail to parse, with the reason, while the rest load.
 
-Lines are read permissively under an explicit schema that keeps the corrupt text. The reason is
-made apart from that reading, by patterns over the raw line: by quoting, by the number of fields
-and by casts. All of it is built-in expressions, without a shuffle.
+Lines are read permissively under an explicit schema that keeps the corrupt text. A line that was read
+well takes its casts from the record. Lines are reclassified over the raw text, by quoting, by the number of
+fields and by casts, when the reader kept them as corrupt or may have read them otherwise than meant: it lets
+stray quotes and an empty line pass, ends a record at its own separator (U+001E here, so that line breaks are plain characters)
+and refuses very many fields. All of it is built-in expressions, without a shuffle.
 
 Defined results: a null line is no record and no case; an empty line is one empty field; null and
 blank values are no faults; very long lines are read whole (the patterns are possessive, so they
@@ -56,29 +58,52 @@ def _field(line: Column, k: int) -> Column:
     return _unquoted(F.regexp_extract(line, rf"\A(?:{one},){{{k}}}({one})(?:,|\z)", 1))
 
 
+_SEPARATOR = "\u001e"
+_MOST_FIELDS = 20_000  # the reader's own limit is a little higher
+
+
+def _read(text: Column, layout: Layout) -> Column:
+    schema = StructType([StructField(c, StringType()) for c in layout.columns] + [StructField("_corrupt", StringType())])
+    return F.from_csv(text, schema.simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "lineSep": _SEPARATOR, "maxCharsPerColumn": "-1"})
+
+
 def classify_lines(df: DataFrame, line: str, kind: str, layouts: dict[str, Layout]) -> DataFrame:
     """df with `read_<kind>` (the permissive reading), `corrupt` and `reason`; reason is null for good lines.
 
     Lines of a kind without a layout are no cases and get no record. Columns already called like
     the new ones are replaced.
     """
-    text, reason, corrupt = F.col(line), F.lit(None).cast("string"), F.lit(None).cast("string")
+    text = F.col(line)
+    commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+    wide = commas >= _MOST_FIELDS
+    reads = df.withColumns({f"read_{name}": F.when((F.col(kind) == name) & ~wide, _read(text, layout)) for name, layout in layouts.items()})
+    reason, corrupt = F.lit(None).cast("string"), F.lit(None).cast("string")
     bare = F.regexp_replace(text, _WHOLE_QUOTED, "q")
     fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    reads = {}
     for name, layout in layouts.items():
-        schema = StructType([StructField(c, StringType()) for c in layout.columns] + [StructField("_corrupt", StringType())])
-        read = F.from_csv(text, schema.simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
-        checks = [bad_integer(_field(text, layout.columns.index(c))) for c in layout.integers] + [bad_decimal(_field(text, layout.columns.index(c))) for c in layout.decimals]
-        value = F.lit(False)
-        for c in checks:
-            value = value | c
-        mine = F.col(kind) == name
-        found = F.when(bare.contains('"'), "quoting").when(fields != len(layout.columns), "columns").when(value, "value")
-        reason = F.when(mine, found).otherwise(reason)
-        reads[f"read_{name}"] = F.when(mine, read)
-        corrupt = F.when(mine, read["_corrupt"]).otherwise(corrupt)
-    return df.withColumns({**reads, "corrupt": corrupt, "reason": F.when(text.isNotNull(), reason)})
+        mine, record = F.col(kind) == name, F.col(f"read_{name}")
+
+        def faults(field, layout: Layout = layout) -> Column:  # noqa: ANN001
+            bad = F.lit(False)
+            for c in layout.integers:
+                bad = bad | bad_integer(field(c))
+            for c in layout.decimals:
+                bad = bad | bad_decimal(field(c))
+            return F.when(bad, "value")
+
+        doubtful = wide | (text == "") | record["_corrupt"].isNotNull() | text.contains('"') | text.contains(_SEPARATOR)
+        again = F.when(bare.contains('"'), "quoting").when(fields != len(layout.columns), "columns").otherwise(faults(lambda c, layout=layout: _field(text, layout.columns.index(c))))
+        reason = F.when(mine, F.when(doubtful, again).otherwise(faults(lambda c, record=record: record[c]))).otherwise(reason)
+        corrupt = F.when(mine, record["_corrupt"]).otherwise(corrupt)
+    return reads.withColumns({"corrupt": corrupt, "reason": F.when(text.isNotNull(), reason)})
+
+
+def loaded_records(df: DataFrame, line: str, kind: str, name: str, layout: Layout, keep: list[str]) -> DataFrame:
+    """The records of one kind that load: `keep` and every column of the layout, integers and decimals cast, blank texts null."""
+    mine = classify_lines(df.where(F.col(kind) == name), line, kind, {name: layout}).where(F.col("reason").isNull() & F.col(line).isNotNull())
+    types = dict.fromkeys(layout.integers, "int") | dict.fromkeys(layout.decimals, "double")
+    value = lambda c: F.nullif(F.trim(F.col(f"read_{name}.{c}")), F.lit(""))
+    return mine.select(*keep, *[(value(c).try_cast(types[c]) if c in types else value(c)).alias(c) for c in layout.columns])
 
 
 def landed_faults(df: DataFrame, integers: tuple[str, ...] = (), decimals: tuple[str, ...] = ()) -> DataFrame:

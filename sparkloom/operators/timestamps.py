@@ -5,9 +5,11 @@ A distinct mask is matched to a parser once; the parser knows at which positions
 stand, so all texts of a mask are cut and converted together as arrays. Wall times go through
 a versioned table of zone transitions that is made on the driver from the JVM's rules.
 
-Defined results: null, blank, over-long (more than 64 characters after trimming) and unreadable
-texts, and impossible dates or times, give null. A wall time that occurs twice means the first
-one, a skipped one moves forward by the skipped time. Repeated rows give repeated results.
+Defined results: null, blank and unreadable texts, and impossible dates or times, give null; texts
+may be any length, digits beyond the microsecond are cut off. A wall time that occurs twice means the
+first one, a skipped one moves forward by the skipped time. A weekday must be a weekday's name, but
+needn't be that of the date. Repeated rows give repeated results. The transitions come from the JVM's
+rules, so the session must have a JVM of its own (not Spark Connect).
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-MAX_LEN = 64
+WIDE = 64  # longer texts are read one by one, not as part of an array
 US = 1_000_000
+CYCLE_YEARS, CYCLE_S = 400, 146_097 * 86_400  # after so many years days, weekdays and recurring rules repeat
 
 # Minutes east of Greenwich of the zone letters (Atlantic, Newfoundland, Eastern, Greenwich).
 ZONE_MINUTES = {
@@ -43,8 +46,15 @@ MONTHS = {
     "janv": 1, "févr": 2, "fév": 2, "avr": 4, "juil": 7, "déc": 12, "aout": 8, "fevrier": 2, "decembre": 12,
 }
 ORDINALS = {"st", "nd", "rd", "th", "er"}
+# Weekday names, English and French, and their short forms.
+WEEKDAYS = {
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday",
+    "mon", "tue", "tues", "wed", "thu", "thur", "thurs", "fri", "sat", "sun",
+    "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi", "dimanche",
+    "lun", "mar", "mer", "jeu", "ven", "sam", "dim",
+}
 
-_WEEKDAY = r"(?:a{2,9}\.?,? )?"
+_WEEKDAY = r"(?:(?P<w>a{2,9})\.?,? )?"
 _DATES = (
     r"(?P<Y>dddd)-(?P<m>dd?)-(?P<D>dd?)",
     r"(?P<Y>dddd)/(?P<m>dd?)/(?P<D>dd?)",
@@ -55,7 +65,7 @@ _DATES = (
     r"(?P<Y>dddd)(?P<m>dd)(?P<D>dd)",
 )
 _ZONE = r"(?: ?(?P<z>a{1,5}(?!a)|(?P<zs>[+-])(?P<zh>dd)(?::?(?P<zm>dd))?))?"
-_CLOCK = r"(?:(?P<t>a)|,? )(?P<H>dd?)(?::|(?P<h> ?a ?))(?P<M>dd)(?::(?P<S>dd)(?:[.,](?P<f>d{1,9}))?)?(?: ?(?P<p>aa(?!a)|a\.a\.))?" + _ZONE
+_CLOCK = r"(?:(?P<t>a)|,? )(?P<H>dd?)(?::|(?P<h> ?a ?))(?P<M>dd)(?::(?P<S>dd)(?:[.,](?P<f>d+))?)?(?: ?(?P<p>aa(?!a)|a\.a\.))?" + _ZONE
 _COMPACT = r"(?:(?P<t>a)| )(?P<H>dd)(?P<M>dd)(?:(?P<S>dd))?" + _ZONE
 _SHAPES = [re.compile(d + r"(?:" + _CLOCK + r")?") for d in _DATES] + [re.compile(_DATES[-1] + _COMPACT)]
 _UNIX = {10: US, 13: 1000}
@@ -63,21 +73,29 @@ _UNIX = {10: US, 13: 1000}
 
 @dataclass(frozen=True)
 class ZoneTable:
-    """Wall-clock switch moments (seconds, as if UTC) and the offset in force from each; offsets[0] is before all."""
+    """Wall-clock switch moments (seconds, as if UTC) and the offset in force from each; offsets[0] is before all.
+
+    The table reaches `until` (seconds); what is later is looked up whole cycles of 400 years earlier,
+    where the recurring rules give the same.
+    """
 
     zone: str
     version: str
     switches: np.ndarray
     offsets: np.ndarray
+    until: int
+
+    def _within(self, seconds: np.ndarray) -> np.ndarray:
+        return seconds - np.maximum(0, -((self.until - seconds) // CYCLE_S)) * CYCLE_S
 
     def to_utc(self, wall: np.ndarray) -> np.ndarray:
         """Wall seconds to UTC seconds: first of two, and forward over a gap."""
-        return wall - self.offsets[np.searchsorted(self.switches, wall, side="right")]
+        return wall - self.offsets[np.searchsorted(self.switches, self._within(wall), side="right")]
 
     def to_wall(self, utc: np.ndarray) -> np.ndarray:
         # A switch stands at the later of the two readings of its wall clock.
         moments = self.switches - np.maximum(self.offsets[1:], self.offsets[:-1])
-        return utc + self.offsets[np.searchsorted(moments, utc, side="right")]
+        return utc + self.offsets[np.searchsorted(moments, self._within(utc), side="right")]
 
 
 def _seconds(offset: str) -> int:
@@ -91,7 +109,7 @@ def _seconds(offset: str) -> int:
 _TABLES: dict[tuple[str, str | None], ZoneTable] = {}
 
 
-def zone_table(spark: SparkSession, zone: str = "America/Halifax", version: str | None = None, until_year: int = 2100) -> ZoneTable:
+def zone_table(spark: SparkSession, zone: str = "America/Halifax", version: str | None = None) -> ZoneTable:
     """The transitions of a zone under one version of the rules (the newest known unless named)."""
     if (zone, version) in _TABLES:
         return _TABLES[zone, version]
@@ -104,13 +122,14 @@ def zone_table(spark: SparkSession, zone: str = "America/Halifax", version: str
     known = rules.getTransitions().toString()
     last = max(map(int, re.findall(r" at (\d{4})-", known)), default=1970)
     for rule in rules.getTransitionRules():
-        known += "".join(rule.createTransition(year).toString() for year in range(last + 1, until_year))
+        known += "".join(rule.createTransition(year).toString() for year in range(last + 1, last + CYCLE_YEARS + 2))
     epoch = datetime(1970, 1, 1)
+    until = int((datetime(last + CYCLE_YEARS + 1, 7, 1) - epoch).total_seconds())  # more than a cycle after the last listed one
     steps = sorted((datetime.fromisoformat(m[1]) - epoch, _seconds(m[2]), _seconds(m[3])) for m in re.finditer(r" at (\d{4}[\dT:-]+\d)([+-][\d:]+|Z) to ([+-][\d:]+|Z)\]", known))
     # The text has the wall clock before the switch; a switch is kept at the later of its two readings.
     switches = [int(at.total_seconds()) + max(0, after - before) for at, before, after in steps]
     offsets = [steps[0][1], *(after for _, _, after in steps)] if steps else [rules.getOffset(jvm.java.time.Instant.EPOCH).getTotalSeconds()]
-    _TABLES[zone, version] = out = ZoneTable(zone, name, np.array(switches, np.int64), np.array(offsets, np.int64))
+    _TABLES[zone, version] = out = ZoneTable(zone, name, np.array(switches, np.int64), np.array(offsets, np.int64), until)
     return out
 
 
@@ -141,7 +160,8 @@ def parser_of(mask: bytes) -> dict[str, tuple[int, int]] | int | None:
             if m := shape.fullmatch(text):
                 plan = {k: m.span(k) for k, v in m.groupdict().items() if v is not None}
                 break
-    _PLANS[mask] = plan
+    if len(mask) <= WIDE:
+        _PLANS[mask] = plan
     return plan
 
 
@@ -179,15 +199,20 @@ def _convert(texts: np.ndarray, plan: dict[str, tuple[int, int]] | int, zone: Zo
     d = field("D")
     if "o" in plan:
         good &= looked_up("o", dict.fromkeys(ORDINALS, 1), 0) == 1
+    if "w" in plan:
+        good &= looked_up("w", dict.fromkeys(WEEKDAYS, 1), 0) == 1
     if "t" in plan:
         good &= looked_up("t", {"t": 1}, 0) == 1
     if "h" in plan:
         good &= np.char.strip(np.char.lower(words(*plan["h"]))) == "h"
     hour, minute, second = field("H"), field("M"), field("S")
+    greenwich = np.zeros(n, bool)
     if "p" in plan:
         half = looked_up("p", {"am": 0, "a.m.": 0, "pm": 12, "p.m.": 12}, -1)
-        good &= (half >= 0) & (hour >= 1) & (hour <= 12)
-        hour = hour % 12 + np.maximum(half, 0)
+        if "z" not in plan:  # two letters after the clock may be a zone too
+            greenwich = looked_up("p", {"UT": 1}, 0, upper=True) == 1
+        good &= greenwich | ((half >= 0) & (hour >= 1) & (hour <= 12))
+        hour = np.where(greenwich, hour, hour % 12 + np.maximum(half, 0))
     micros = np.zeros(n, np.int64)
     if "f" in plan:
         a, b = plan["f"]
@@ -205,7 +230,7 @@ def _convert(texts: np.ndarray, plan: dict[str, tuple[int, int]] | int, zone: Zo
         good &= minutes != 9999
         utc = wall - minutes * 60
     else:
-        utc = zone.to_utc(wall)
+        utc = np.where(greenwich, wall, zone.to_utc(wall))
     return utc * US + micros, good
 
 
@@ -216,9 +241,9 @@ def utc_micros(texts: pa.Array | pa.ChunkedArray, zone: ZoneTable) -> pa.Array:
         texts = texts.combine_chunks()
     texts = pc.utf8_trim_whitespace(texts.cast(pa.string()))
     length = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero((length > 0) & (length <= MAX_LEN))
     out, known = np.zeros(n, np.int64), np.zeros(n, bool)
-    if len(rows):
+    narrow = np.flatnonzero((length > 0) & (length <= WIDE))
+    for rows in ([narrow] if len(narrow) else []) + [np.array([r]) for r in np.flatnonzero(length > WIDE)]:
         values = np.array(texts.take(pa.array(rows)).to_pylist(), dtype="U")
         found, back = np.unique(shape_masks(values), return_inverse=True)
         order = np.argsort(back, kind="stable")

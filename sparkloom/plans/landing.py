@@ -11,7 +11,7 @@ from sparkloom.functions.text import plain_decimal, strip_ws
 from sparkloom.operators.multivalue import explode_packed
 from sparkloom.operators.nearby import pairs_within, points_in_regions, region_index, usable_points
 from sparkloom.operators.orphans import orphan_references
-from sparkloom.operators.rejects import Layout, classify_lines, landed_faults
+from sparkloom.operators.rejects import Layout, classify_lines, landed_faults, loaded_records
 from sparkloom.operators.timestamps import with_utc_micros, zone_table
 from sparkloom.plans.registry import Registry
 from sparkloom.session import written
@@ -145,20 +145,24 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return _union([x.select(F.lit(t).alias("table_name"), "row_id", "reason") for t, x in (("raw_lines", lines), ("raw_counts", counts), ("calls_raw", calls))])
 
 
-@R.add("p4_loaded_permits")
-def p4_loaded_permits(spark: SparkSession, sf: str) -> DataFrame:
-    """The permit records that load, typed."""
-    lines = table(spark, sf, "raw_lines", "row_id", "file_kind", "line").where(F.col("file_kind") == "permits")
-    good = classify_lines(lines, "line", "file_kind", {"permits": LAYOUTS["permits"]}).where(F.col("reason").isNull() & F.col("line").isNotNull())
-    rec = "read_permits"
-    return good.select(
-        "row_id",
-        F.col(f"{rec}.permit_number").alias("permit_number"),
-        F.trim(f"{rec}.estimated_project_value").try_cast("decimal(18,2)").alias("estimated_project_value"),
-        F.col(f"{rec}.primary_work_scope").alias("primary_work_scope"),
-        F.col(f"{rec}.community").alias("community"),
-        F.trim(f"{rec}.number_of_storeys").try_cast("int").alias("number_of_storeys"),
-    )
+def _p4_loaded_sql(kind: str) -> str:
+    layout = LAYOUTS[kind]
+    types = dict.fromkeys(layout.integers, "INTEGER") | dict.fromkeys(layout.decimals, "DOUBLE")
+    text = lambda k: f"nullif(trim({_p4_field(k)}), '')"
+    columns = [f"try_cast({text(k)} AS {types[c]}) AS {c}" if c in types else f"{text(k)} AS {c}" for k, c in enumerate(layout.columns)]
+    return f"SELECT row_id, {', '.join(columns)} FROM raw_lines WHERE file_kind = '{kind}' AND line IS NOT NULL AND row_id NOT IN (SELECT row_id FROM ({_P4_SQL}) WHERE table_name = 'raw_lines')"
+
+
+def _loaded(kind: str):  # noqa: ANN202
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return loaded_records(table(spark, sf, "raw_lines", "row_id", "file_kind", "line"), "line", "file_kind", kind, LAYOUTS[kind], ["row_id"])
+
+    run.__doc__ = f"The records of the {kind} extract that load, every column, typed."
+    return run
+
+
+for _kind, _name in (("traffic_counts", "p4_loaded_counts"), ("calls", "p4_loaded_calls"), ("permits", "p4_loaded_permits")):
+    R.add(_name, _p4_loaded_sql(_kind))(_loaded(_kind))
 
 
 def _stop_points(spark: SparkSession, sf: str) -> DataFrame:

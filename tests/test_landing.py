@@ -5,6 +5,7 @@ import random
 import re
 from datetime import datetime
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,9 +38,19 @@ def test_orphans(spark):
     assert found(kids.limit(0), parents) == set()
 
 
+def test_filter_proves_what_it_rejects(spark):
+    keys = spark.range(30_000).select(F.concat(F.lit("K"), "id").alias("k"))
+    hashes = np.array([r[0] for r in spark.range(60_000).select(F.xxhash64(F.concat(F.lit("K"), "id"))).collect()])
+    for bits, parts in ((64 << 20, 16), (1 << 16, 16), (1 << 15, 2)):  # in one part, in several, and too small
+        f = orphans.bloom_filter(keys, "k", 30_000, bits, parts)
+        passed = f.might_contain(hashes)
+        assert passed[:30_000].all() and len(f.parts) == min(parts, -(-300_000 // bits))
+        assert parts == 2 or passed[30_000:].mean() < 0.05
+    assert not orphans.bloom_filter(keys.limit(0), "k", 0).might_contain(hashes).any()
+
+
 def test_orphans_with_a_filter_that_is_too_small(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "MAX_FILTER_BITS", 1024)
-    monkeypatch.setattr(orphans.bloom_filter, "__defaults__", (1024,))
+    monkeypatch.setattr(orphans.bloom_filter, "__defaults__", (1 << 15, 2))
     parents = spark.range(5000).select("id", F.concat(F.lit("K"), F.col("id") * 2).alias("k"), F.lit(AT).alias("at"), F.lit("INS").alias("status"))
     kids = spark.range(10000).select("id", F.concat(F.lit("k"), "id").alias("k"), F.lit(AT).alias("at"), F.lit("x").alias("status"))
     assert found(kids, parents) == {(i, "missing") for i in range(1, 10000, 2)}
@@ -100,7 +111,7 @@ def brute_reason(line: str, layout) -> str | None:
 def test_lines_against_brute_force(spark):
     rng, layout = random.Random(1), rejects.Layout(("a", "b", "c"), integers=("a",), decimals=("c",))
     pieces = ["1", "12", '"', '""', ",", ",", "x", "\n", " ", "2147483647", "2147483648", "1.5", "1..2", '"a,b"', '"q""q"', '"1"', "", "٣"]
-    lines = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + ['1,"' + "x" * 200_000 + '",2', "y" * 300_000, '"' + '""' * 100_000 + '",1,1', "", "1,2,3\n"]
+    lines = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(3000)] + ["1,2\x1e3,4", "1,2,3\x1e", "1," * 30_000, "," * 20_001, "1,\r,2", "\n1,2,3", "1,2\r\n3,4", " ,, ", ",,", "#1,2,3"] + ['1,"' + "x" * 200_000 + '",2', "y" * 300_000, '"' + '""' * 100_000 + '",1,1', "", "1,2,3\n"]
     df = spark.createDataFrame([(i, "k", x) for i, x in enumerate(lines)] + [(-1, "k", None), (-2, "other", "x"), (-3, None, "x")], "row_id long, kind string, line string")
     got = {r.row_id: r.reason for r in rejects.classify_lines(df, "line", "kind", {"k": layout}).select("row_id", "reason").collect()}
     assert {k: got.pop(k) for k in (-1, -2, -3)} == {-1: None, -2: None, -3: None}
@@ -147,12 +158,27 @@ def test_pairs_against_brute_force(spark, monkeypatch):
     assert nearby.pairs_within(points(spark, a).limit(0), points(spark, b), 50).count() == 0
 
 
-def test_regions(spark):
+def test_pairs_near_poles_and_the_180th_meridian(spark):
+    rng = random.Random(3)
+    for lat, lon in ((70.0, 20.0), (-89.9995, 0.0), (89.9999, 90.0), (10.0, 180.0), (0.0, -180.0), (-45.0, 179.9999)):
+        wide = 0.001 if abs(lat) < 80 else 180
+        wrap = lambda x: (x + 180) % 360 - 180
+        a, b = ([(f"{s}{i}", max(-90.0, min(90.0, lat + rng.uniform(-0.001, 0.001))), wrap(lon + rng.uniform(-wide, wide))) for i in range(120)] for s in "ab")
+        p, q = (spark.createDataFrame(x, "key string, lat double, lon double") for x in (a, b))
+        want = {(x[0], y[0]) for x in a for y in b if distance(x, y) <= 60}
+        assert want and {tuple(r) for r in nearby.pairs_within(p, q, 60).collect()} == want
+
+
+def test_regions(spark, monkeypatch):
     square = [(-60.0, 45.0), (-59.9, 45.0), (-59.9, 45.1), (-60.0, 45.1), (-60.0, 45.0)]
     hollow = [(-60.2, 45.0), (-60.1, 45.0), (-60.1, 45.1), (-60.15, 45.02), (-60.2, 45.1), (-60.2, 45.0)]
     zones = spark.createDataFrame([(1, square), (2, hollow), (3, None), (4, square[:2])], "zone_id long, ring array<struct<lon double, lat double>>")
     p = points(spark, [("in", 45.05, -59.95), ("in", 45.06, -59.95), ("out", 45.2, -59.95), ("notch", 45.08, -60.15), ("leg", 45.03, -60.19)])
     assert {tuple(r) for r in nearby.points_in_regions(p, nearby.region_index(zones)).collect()} == {("1", "in"), ("2", "leg")}
+    monkeypatch.setattr(nearby, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("sparkloom.operators.skew.hot_keys.__defaults__", (0.1, 1))
+    many = points(spark, [("in", 45.05, -59.95), ("leg", 45.03, -60.19)] + [(f"hot{i}", 45.051 + i * 1e-5, -59.95) for i in range(50)])
+    assert {r.right_key for r in nearby.points_in_regions(many, nearby.region_index(zones)).collect()} == {"in", "leg", *(f"hot{i}" for i in range(50))}
 
 
 # Several values in one field ---------------------------------------------------------
