@@ -11,7 +11,7 @@ from sparkloom.functions.text import fold_ws
 from sparkloom.llm.lookalike import char_frequencies, match_disguised, rewrite_rules
 from sparkloom.llm.mixing import mix, share_report, sized_documents, source_rates
 from sparkloom.llm.subjects import fitted, leaf_report, subjects_of
-from sparkloom.llm.survivors import consensus_survivors, ranked_survivors
+from sparkloom.llm.survivors import consensus_survivors
 from sparkloom.llm.tokens import with_ids, with_text, with_token_count
 from sparkloom.operators.timestamps import wall_day, with_utc_micros
 from sparkloom.plans.registry import Registry
@@ -53,24 +53,26 @@ def _dated_counts(spark: SparkSession, sf: str) -> DataFrame:
     return with_utc_micros(ready, "count_date").withColumn("day", wall_day("utc_us"))
 
 
+def _usable(counts: DataFrame) -> dict:
+    return {"county": F.when(F.col("county_ok"), F.col("county")), "section_description": F.when(F.col("description_ok"), F.col("section_description"))}
+
+
 @R.add("p7_found")
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """The row that supplies county and description of each traffic count reported more than once."""
+    """The row that supplies county and description of each traffic count reported more than once: the consensus of ranked votes."""
     counts = _dated_counts(spark, sf)
-    usable = {"county": F.col("county_ok"), "section_description": F.col("description_ok")}
-    return ranked_survivors(counts, ["hw", "sec", "day"], "row_id", [F.col("trust"), F.col("loaded_at")], usable).select("group_id", "field", "row_id")
+    rank = [F.col("trust"), F.unix_micros("loaded_at")]
+    return consensus_survivors(counts, ["hw", "sec", "day"], "row_id", _usable(counts), rank=rank).select("group_id", "field", "row_id")
 
 
 @R.add("p7_consensus")
 def p7_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """For each field of a count reported more than once the usable value closest to the token-level consensus of its reports.
+    """For each field of a count reported more than once the usable value closest to the consensus of its reports, votes weighted by trust.
 
     Counts are those of p7_found, with the same group_id, also where only one report's value is usable.
     """
-    counts = written(_dated_counts(spark, sf))
-    usable = {"county": "county_ok", "section_description": "description_ok"}
-    found = [consensus_survivors(counts.withColumn(f, F.when(F.col(ok), F.col(f))), ["hw", "sec", "day"], "row_id", f, F.col("trust") + 1).withColumn("field", F.lit(f)) for f, ok in usable.items()]
-    return reduce(DataFrame.unionByName, found).select("group_id", "field", "consensus", "value")
+    counts = _dated_counts(spark, sf)
+    return consensus_survivors(counts, ["hw", "sec", "day"], "row_id", _usable(counts), weight=F.col("trust") + 1).select("group_id", "field", "consensus", "value")
 
 
 @R.add("p8_ids")

@@ -48,27 +48,90 @@ def test_disguised_names(spark, rules):
 
 
 # Survivors -------------------------------------------------------------------------
-def test_ranked_survivors(spark):
-    at = lambda d: datetime(2024, 1, d)
-    rows = [("a", 1, 5, at(1), None), ("a", 2, 3, at(9), "x"), ("a", 3, 3, at(9), "y"), ("a", 4, 3, at(2), "z"), ("b", 5, 1, at(1), "q"), ("c", 6, None, None, "u"), ("c", 7, None, None, "v"), ("d", 8, 1, at(1), None), ("d", 9, 1, at(1), None), (None, 10, 1, at(1), "w"), (None, 11, 2, at(1), "w")]
-    df = spark.createDataFrame(rows, "g string, id long, trust int, at timestamp, v string")
-    got = {tuple(r) for r in survivors.ranked_survivors(df, ["g"], "id", [F.col("trust"), F.col("at")], {"v": F.col("v").isNotNull()}).collect()}
-    assert got == {(1, "v", 2), (6, "v", 6), (10, "v", 11)}
-    named = df.withColumnRenamed("g", "group_id").withColumns({"n": F.lit(1), "field": F.lit(2)})
-    assert {tuple(r) for r in survivors.ranked_survivors(named, ["group_id"], "id", [F.col("trust"), F.col("at")], {"v": F.col("v").isNotNull()}).collect()} == got
+def ranked(df, group=("g",), value="v", most=survivors.MOST_VALUES):
+    return survivors.consensus_survivors(df, list(group), "id", {"v": F.col(value)}, rank=[F.col("trust"), F.unix_micros("at")], most=most)
 
 
-def test_alignment_and_distance():
-    assert survivors.align_tokens(["a", "b", "c"], ["a", "x", "b", "c"]) == [1, 2, 3, 5]
-    assert survivors.align_tokens([], ["a"]) == [0] and survivors.align_tokens(["a"], []) == []
-    assert survivors.token_distance(["a", "b"], ["b"]) == 1 and survivors.token_distance([], ["a", "b"]) == 2
+def test_ranked_votes(spark):
+    at = lambda d: datetime(2024, 1, d)
+    rows = [("a", 1, 5, at(1), None), ("a", 2, 3, at(9), "x one"), ("a", 3, 3, at(9), "y two three"), ("a", 4, 3, at(2), "z"), ("b", 5, 1, at(1), "q"), ("c", 6, None, None, "u"), ("c", 7, None, None, "v"), ("d", 8, 1, at(1), None), ("d", 9, 1, at(1), " "), (None, 10, 1, at(1), "w"), (None, 11, 2, at(1), "W"), ("e", 12, 1, at(1), "Same"), ("e", 13, 1, at(2), "SAME")]
+    df = spark.createDataFrame(rows, "g string, id long, trust int, at timestamp, v string")
+    got = {(r.group_id, r.field, r.row_id, r.value) for r in ranked(df).collect()}
+    assert got == {(1, "v", 2, "x one"), (6, "v", 6, "u"), (10, "v", 11, "W"), (12, "v", 13, "SAME")}
+    named = df.withColumnRenamed("g", "group_id").withColumns({"n": F.lit(1), "field": F.lit(2), "rank": F.lit(3), "w": F.lit(4), "value": F.lit(5), "least": F.lit(6)})
+    assert {(r.group_id, r.field, r.row_id, r.value) for r in ranked(named, ["group_id"]).collect()} == got
+    assert ranked(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_and_hot_groups(spark, monkeypatch, hot):
+    """Groups with more values than a task keeps, and groups spread over salts, give what brute force gives."""
+    if hot:
+        monkeypatch.setattr(survivors, "hot_keys", lambda df, keys, **_: {r[0]: 3 for r in df.select(F.xxhash64(*keys)).distinct().collect()} if "field" in keys else {})
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "a", "a", "a", "b"]), i, rng.randrange(3), datetime(2024, 1, rng.randint(1, 9)), " ".join(rng.choice("pqrst") for _ in range(rng.randint(0, 5)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, id long, trust int, at timestamp, v string").repartition(3)
+    want = set()
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        best = max((r for r in own if r[4]), key=lambda r: (r[2], r[3], -r[1]))
+        want.add((min(r[1] for r in own), best[1], best[4]))
+    assert {(r.group_id, r.row_id, r.value) for r in ranked(df, most=20).collect()} == want
+    by_weight = survivors.consensus_survivors(df, ["g"], "id", {"v": F.col("v")}, weight=F.col("trust"), most=20).collect()
+    assert {r.group_id for r in by_weight} == {g for g, _, _ in want}
+    for r in by_weight:
+        own = {x[4] for x in rows if x[0] == next(y[0] for y in rows if y[1] == r.group_id) and x[4]}
+        assert r.value in own and survivors.token_distance(r.consensus.split(), r.value.split()) == min(survivors.token_distance(r.consensus.split(), v.split()) for v in own)
+
+
+def slow_cost(profile, tokens, pairs):
+    """What an alignment of a profile with one more value costs: values that differ from it, column by column."""
+    met = dict(pairs)
+    cost = sum(profile.total - c[0].get(tokens[met[i]], 0) if i in met else sum(c[0].values()) for i, c in enumerate(profile.columns))
+    return cost + profile.total * (len(tokens) - len(met))
+
+
+def test_alignment_ways_agree(monkeypatch):
+    """Lists, one table of arrays, and halves give alignments of the same cost."""
+    rng = random.Random(2)
+    for _ in range(60):
+        p, tokens_ = survivors.Profile(False), [rng.choice("abcd") for _ in range(rng.randint(0, 9))]
+        for _ in range(rng.randint(1, 5)):
+            p.add([rng.choice("abcd") for _ in range(rng.randint(1, 9))], 1)
+        one = survivors.Profile(False)
+        one.add(tokens_, 1)
+        costs = []
+        for small, whole in ((10**6, 0), (0, 10**6), (0, 0)):
+            monkeypatch.setattr(survivors, "_SMALL", small)
+            monkeypatch.setattr(survivors, "_WHOLE", whole)
+            pairs = survivors.best_matches(p._match_row(one), [sum(c[0].values()) for c in p.columns], [p.total] * len(tokens_))
+            assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+            costs.append(slow_cost(p, tokens_, pairs))
+        assert len(set(costs)) == 1
+    monkeypatch.undo()
+    a, b = [str(i % 97) for i in range(6000)], [str(i % 97) for i in range(6000) if i % 50]
+    assert survivors.token_distance(a, b) == 120 and survivors.token_distance([], ["a", "b"]) == 2 and survivors.token_distance(["a", "b"], ["b"]) == 1
+    long = survivors.Profile(True)
+    long.add(a, (2,))
+    long.add(b, (1,))
+    assert long.consensus() == a and survivors.Profile.loads(long.dumps()).consensus() == a
+
+
+def test_several_tokens_in_one_gap():
+    p = survivors.Profile(False)
+    p.add(["a", "b"], 1)
+    p.add(["a", "x", "y", "b"], 2)
+    assert p.consensus() == ["a", "x", "y", "b"] and len(p.columns) == 4
+
+
+def by_sum(df):
+    return survivors.consensus_survivors(df, ["g"], "id", {"v": F.col("v")}, weight=F.col("w"))
 
 
 def test_consensus(spark):
     rows = [("g", i, t, w) for i, (t, w) in enumerate([("Main St to Oak Ave", 1), ("Main St to Oak Ave", 1), ("main st to elm ave", 2), ("Main St Oak", 1), (None, 9), (" ", 9)])] + [("h", 10, "alone", 1), ("k", 11, "x y", None), ("k", 12, "x y", None)]
     df = spark.createDataFrame(rows, "g string, id long, v string, w int")
-    got = {r.group_id: r.value for r in survivors.consensus_survivors(df, ["g"], "id", "v", F.col("w")).collect()}
-    assert got == {0: "Main St to Oak Ave", 11: "x y"}
+    assert {(r.group_id, r.value, r.row_id) for r in by_sum(df).collect()} == {(0, "Main St to Oak Ave", 0), (11, "x y", 11)}
 
 
 def test_consensus_of_cut_off_reports(spark):
@@ -77,8 +140,7 @@ def test_consensus_of_cut_off_reports(spark):
     rows += [("few", 20, "A B", 3.0), ("few", 21, "A x x x B", 1.2), ("few", 22, "A x B", 1.0)]  # the insertion has 2.2 of 5.2, however often it stands there
     rows += [("none", 30, "p", None), ("none", 31, None, 5.0)]
     df = spark.createDataFrame(rows, "g string, id long, v string, w double")
-    got = {r.group_id: (r.consensus, r.value) for r in survivors.consensus_survivors(df, ["g"], "id", "v", F.col("w")).collect()}
-    assert got == {
+    assert {r.group_id: (r.consensus, r.value) for r in by_sum(df).collect()} == {
         0: ("vellum court to dovecote blvd", "Vellum Court to Dovecote Blvd"), 10: ("exit 9 to cedar hill", "Exit 9 to Cedar Hill Rd"),
         20: ("a b", "A B"), 30: ("p", "p"),
     }
@@ -87,11 +149,12 @@ def test_consensus_of_cut_off_reports(spark):
 def test_profile_counts_a_value_once_a_column():
     rng = random.Random(8)
     for _ in range(200):
-        p, values = survivors.Profile(), [([rng.choice("abcd") for _ in range(rng.randint(1, 7))], rng.randint(1, 9)) for _ in range(rng.randint(1, 6))]
+        p, values = survivors.Profile(False), [([rng.choice("abcd") for _ in range(rng.randint(1, 7))], rng.randint(1, 9)) for _ in range(rng.randint(1, 6))]
         for tokens_, w in values:
             p.add(tokens_, w)
-        assert p.total == sum(w for _, w in values) and all(sum(c.values()) <= p.total for c in p.columns)
-        assert sum(sum(c.values()) for c in p.columns) == sum(len(t) * w for t, w in values)
+        assert p.total == len(values) and p.vote == sum(w for _, w in values)
+        assert all(sum(votes.values()) + gap == p.vote and sum(tokens_.values()) <= p.total for tokens_, votes, gap in p.columns)
+        assert sum(sum(votes.values()) for _, votes, _ in p.columns) == sum(len(t) * w for t, w in values)
 
 
 def test_p7_consensus_has_each_field_of_each_count(spark, sf):
@@ -188,15 +251,19 @@ def test_subjects_held_out(spark):
 def test_words_are_never_dropped():
     chinese = "港口委员会批准了新的灯塔维修预算" * 8
     codes = lambda t: subjects.Coder().codes([t])
-    assert subjects.tokens_of("港口委") == ["港口", "口委"] and subjects.tokens_of("字") == ["字"]
+    words = subjects.words_of
+    assert words("港口委") == ["港口", "口委"] and words("字") == ["字"] and words("見 Quay 港口") == ["見", "quay", "港口"]
     assert len(codes(chinese)[0]) == len(chinese) - 1
-    assert [len(x) for x in codes(chinese + "。" + chinese)[:2]] == [2 * len(chinese) - 2, 2]
-    assert codes("x" * 500)[2].tolist() == [1]
-    long_tag = '<a title="' + "t" * 900 + '" href=x>one</a> two'
-    assert subjects.tokens_of(long_tag) == ["one", "two"]
-    assert subjects.tokens_of("a <b and c") == ["a", "b", "and", "c"]
-    assert subjects.tokens_of("In Plover." + "=" * 60 + "Next line") == ["in", "plover", ".\n", "next", "line"]
-    assert subjects.tokens_of("see 8ww+PS1VrZm1bC1nNSTKvJetNoNUygNwP95BNDSz0kNwG68kENuTQAwxpuJD here") == ["see", "here"]
+    assert [len(x) for x in codes(chinese + "。" + chinese)[:2]] == [2 * len(chinese) - 2, 2] and codes("港口！港口")[1].tolist() == [1, 1]
+    assert codes("x" * 500)[2].tolist() == [1] and codes("x" * 500)[0] != codes("x" * 501)[0]
+    assert words('<a title="' + "t" * 900 + '" href=x>one</a> two') == ["one", "two"]
+    assert words("a <b and c") == ["a", "b", "and", "c"]
+    assert words("l'école - mi-temps d’eau 'x' a_b rock'n'roll") == ["l'école", "mi-temps", "d’eau", "x", "a", "b", "rock'n'roll"]
+    assert words("In Plover." + "=" * 60 + "Next line") == ["in", "plover", "next", "line"] and codes("In Plover." + "=" * 60 + "Next line")[1].tolist() == [2, 2]
+    assert words("see 8ww+PS1VrZm1bC1nNSTKvJetNoNUygNwP95BNDSz0kNwG68kENuTQAwxpuJD here") == ["see", "here"]
+    assert codes('He said "Stop." Then p.m. came; 1.5 left')[1].tolist() == [3, 3, 1, 1]
+    whole = subjects.Coder().codes([chinese, "One two. Three!", None, "x\0y"] * 9)
+    assert all((a == b).all() for a, b in zip(whole, subjects.Coder(most=10).codes([chinese, "One two. Three!", None, "x\0y"] * 9), strict=True))
     words, sizes, per_text, sentences = subjects.Coder().codes(["One two. Three!", None, "", " ", "A\nb c"])
     assert sizes.tolist() == [2, 1, 1, 2] and per_text.tolist() == [3, 0, 0, 0, 3] and sentences.tolist() == [2, 0, 0, 0, 2] and len(words) == 6
 
