@@ -67,6 +67,13 @@ def _read(text: Column, layout: Layout) -> Column:
     return F.from_csv(text, schema.simpleString(), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "lineSep": _SEPARATOR, "maxCharsPerColumn": "-1"})
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are evaluated once: neither projections nor filters above are merged into a generator."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    one = F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias("__sl_once")
+    return df.select(*kept, one).select(*kept, "__sl_once.*")
+
+
 def classify_lines(df: DataFrame, line: str, kind: str, layouts: dict[str, Layout]) -> DataFrame:
     """df with `read_<kind>` (the permissive reading), `corrupt` and `reason`; reason is null for good lines.
 
@@ -76,26 +83,29 @@ def classify_lines(df: DataFrame, line: str, kind: str, layouts: dict[str, Layou
     text = F.col(line)
     commas = F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
     wide = commas >= _MOST_FIELDS
-    reads = df.withColumns({f"read_{name}": F.when((F.col(kind) == name) & ~wide, _read(text, layout)) for name, layout in layouts.items()})
-    reason, corrupt = F.lit(None).cast("string"), F.lit(None).cast("string")
+    reads = _once(df, {f"read_{name}": F.when((F.col(kind) == name) & ~wide, _read(text, layout)) for name, layout in layouts.items()})
+
+    def by_kind(each) -> Column:  # noqa: ANN001
+        out = F.lit(None)
+        for name, layout in layouts.items():
+            out = F.when(F.col(kind) == name, each(layout, F.col(f"read_{name}"))).otherwise(out)
+        return out
+
+    corrupt = by_kind(lambda layout, record: record["_corrupt"]).cast("string")
+    doubtful = wide | corrupt.isNotNull() | text.contains('"') | text.contains(_SEPARATOR) | (text == "")
     bare = F.regexp_replace(text, _WHOLE_QUOTED, "q")
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    for name, layout in layouts.items():
-        mine, record = F.col(kind) == name, F.col(f"read_{name}")
-
-        def faults(field, layout: Layout = layout) -> Column:  # noqa: ANN001
-            bad = F.lit(False)
-            for c in layout.integers:
-                bad = bad | bad_integer(field(c))
-            for c in layout.decimals:
-                bad = bad | bad_decimal(field(c))
-            return F.when(bad, "value")
-
-        doubtful = wide | (text == "") | record["_corrupt"].isNotNull() | text.contains('"') | text.contains(_SEPARATOR)
-        again = F.when(bare.contains('"'), "quoting").when(fields != len(layout.columns), "columns").otherwise(faults(lambda c, layout=layout: _field(text, layout.columns.index(c))))
-        reason = F.when(mine, F.when(doubtful, again).otherwise(faults(lambda c, record=record: record[c]))).otherwise(reason)
-        corrupt = F.when(mine, record["_corrupt"]).otherwise(corrupt)
-    return reads.withColumns({"corrupt": corrupt, "reason": F.when(text.isNotNull(), reason)})
+    broken = F.when(bare.contains('"'), "quoting").when(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1 != by_kind(lambda layout, _: F.lit(len(layout.columns))), "columns")
+    known = F.col(kind).isin(list(layouts)) & text.isNotNull()
+    # One check for the first integer of every kind, one for the second and so on; the same for decimals.
+    value = F.lit(False)
+    for bad, names in ((bad_integer, "integers"), (bad_decimal, "decimals")):
+        for i in range(max(len(getattr(x, names)) for x in layouts.values())):
+            has = lambda x, i=i, names=names: getattr(x, names)[i] if i < len(getattr(x, names)) else None
+            again = by_kind(lambda x, _, has=has: _field(text, x.columns.index(has(x))) if has(x) else F.lit(None))
+            given = by_kind(lambda x, record, has=has: record[has(x)] if has(x) else F.lit(None))
+            value = value | bad(F.when(F.col("__sl_doubtful"), again).otherwise(given).cast("string"))
+    made = _once(reads, {"corrupt": corrupt, "__sl_doubtful": doubtful})
+    return _once(made, {"reason": F.when(known, F.coalesce(F.when(F.col("__sl_doubtful"), broken), F.when(value, "value")))}).drop("__sl_doubtful")
 
 
 def loaded_records(df: DataFrame, line: str, kind: str, name: str, layout: Layout, keep: list[str]) -> DataFrame:
