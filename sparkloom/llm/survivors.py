@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.operators.skew import bounded_broadcast, hot_keys, salted_join
+from sparkloom.operators.skew import HOT_SHARE, bounded_broadcast, hot_keys, salted_join
 from sparkloom.session import written
 
 #: So many values of one group are kept by a task.
@@ -236,9 +236,15 @@ class _Group:
         self.n += count
         self.least = least if self.least is None else min(self.least, least)
         if value is not None:
-            tokens = tokens_of(value)
-            self.values.append((tokens, value, weight, rank, least))
+            self.values.append((tokens_of(value), value, weight, rank, least))
+
+    def align(self) -> list[str]:
+        """Take the values into the profile and give its consensus; values that all read alike need no aligning."""
+        if not self.big and all(v[0] == self.values[0][0] for v in self.values):
+            return self.values[0][0]
+        for tokens, _, weight, rank, _ in self.values:
             self.profile.add(tokens, tuple(rank) if rank is not None else weight)
+        return self.profile.consensus()
 
 
 def closest(consensus: list[str], values: list[tuple], ranked: bool) -> tuple:
@@ -292,17 +298,18 @@ def consensus_survivors(df: DataFrame, group: list[str], row_id: str, fields: di
                     yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array([d[i] for d in part], t) for i, t in enumerate(types)]], names=[*keyed, *[f.name for f in made]])
 
         def passed(g: _Group, done: list, heads: list) -> None:
+            g.align()
             done += [("value", None, None, None, value, row, w, rank_) for _, value, w, rank_, row in g.values]
             heads += [g.head] * len(g.values)
             g.values = []
 
         def finish(g: _Group, done: list, heads: list) -> None:
             if g.big:
+                passed(g, done, heads)
                 done.append(("part", g.n, g.least, g.profile.dumps(), None, None, None, None))
                 heads.append(g.head)
-                passed(g, done, heads)
             elif g.n > 1 and g.values:
-                consensus = g.profile.consensus()
+                consensus = g.align()
                 _, value, w, rank_, row = closest(consensus, g.values, ranked)
                 done.append(("done", g.n, g.least, " ".join(consensus), value, -rank_[-1] if ranked else row, w, rank_))
                 heads.append(g.head)
@@ -332,7 +339,7 @@ def consensus_survivors(df: DataFrame, group: list[str], row_id: str, fields: di
 
     found = sorted_.mapInArrow(convert, T.StructType([*kinds, *made]))
     wanted = ["least AS group_id", "field", "consensus", "value", "row_id"]
-    if not hot and values.count() <= most:
+    if not hot and values.count() * HOT_SHARE <= most:  # then no group has more than `most`
         return found.where("kind = 'done'").selectExpr(*wanted)
     found = written(found)
     one = F.to_json(F.struct(*keyed)).alias("__sl_key")  # null keys are keys too

@@ -66,6 +66,7 @@ def test_ranked_votes(spark):
 @pytest.mark.parametrize("hot", [False, True])
 def test_large_and_hot_groups(spark, monkeypatch, hot):
     """Groups with more values than a task keeps, and groups spread over salts, give what brute force gives."""
+    monkeypatch.setattr(survivors, "HOT_SHARE", 1.0)
     if hot:
         monkeypatch.setattr(survivors, "hot_keys", lambda df, keys, **_: {r[0]: 3 for r in df.select(F.xxhash64(*keys)).distinct().collect()} if "field" in keys else {})
     rng = random.Random(6)
