@@ -92,3 +92,14 @@ def through_brackets(df: DataFrame, before: Column, amount: Column, brackets: li
         top = before + amount if high is None else F.least(before + amount, F.lit(high))
         charge = charge + F.greatest(F.lit(0), top - F.greatest(before, F.lit(low))) * rate
     return df.withColumn("charge", charge.cast("bigint"))
+
+
+def split_over_tiers(df: DataFrame, amount: str, tiers: list[tuple[int, int | None, int]]) -> DataFrame:
+    """One row per tier (from, to, rate in percent) that an amount reaches into: tier from 1, part and charge, rounded half up by part.
+
+    The parts add up to the amount; amounts of 0 or less and nulls reach no tier.
+    """
+    rows = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(low).cast("bigint").alias("low"), F.lit(high).cast("bigint").alias("high"), F.lit(rate).alias("rate")) for i, (low, high, rate) in enumerate(tiers, 1)])
+    part = (F.least(F.col(amount), F.coalesce("__sl_t.high", F.col(amount))) - F.col("__sl_t.low")).cast("bigint")
+    met = df.withColumn("__sl_t", F.explode(rows)).where(F.col(amount) > F.col("__sl_t.low"))
+    return met.select(*df.columns, F.col("__sl_t.tier").alias("tier"), part.alias("part"), F.floor((part * F.col("__sl_t.rate") + 50) / 100).cast("bigint").alias("charge"))

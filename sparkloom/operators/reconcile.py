@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.skew import bounded_broadcast, hot_keys
+
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, amount: str, tolerance: int) -> DataFrame:
     """(key, left_amount, right_amount, difference, status) of two ledgers with one row per key.
@@ -36,12 +40,29 @@ def backlog(df: DataFrame, opened: Column, closed: Column) -> DataFrame:
     return full.select(F.date_format(F.make_date((F.col("mi") / 12).cast("int"), (F.col("mi") % 12 + 1).cast("int"), F.lit(1)), "yyyy-MM").alias("month"), (closing - F.col("opened") + F.col("closed")).alias("opening"), "opened", "closed", closing.alias("closing"))
 
 
-def tier_of(value: Column, tiers: list[tuple[int, int]]) -> Column:
-    """The payload of the highest tier whose minimum is at most the value; null below all. Tiers are few and literal."""
-    out = F.lit(None)
-    for least, payload in sorted(tiers):
-        out = F.when(value >= least, payload).otherwise(out)
-    return out
+def asof_tier(df: DataFrame, tiers: DataFrame, keys: list[str], value: str, least: str, payload: str) -> DataFrame:
+    """df with the payload of the highest tier of its keys whose `least` is at most `value`; null below all, without tiers or value.
+
+    The tier table is turned into half-open intervals and met by key; it is broadcast while it is small (counted),
+    else joined with hot keys of df spread over salts. Of tiers with the same `least` the largest payload counts.
+    """
+    one = tiers.where(F.col(least).isNotNull()).groupBy(*keys, least).agg(F.max(payload).alias(payload))
+    until = F.lead(least).over(Window.partitionBy(*keys).orderBy(least))  # the tiers of one key, a few
+    spans = one.select(*[F.col(k).alias(f"__sl_{k}") for k in keys], F.col(least).alias("__sl_from"), until.alias("__sl_until"), F.col(payload).alias("__sl_payload"))
+    small = bounded_broadcast(spans, spans.count())
+    within = (F.col(value) >= F.col("__sl_from")) & (F.col("__sl_until").isNull() | (F.col(value) < F.col("__sl_until")))
+    left, same = df, F.lit(True)
+    if small is spans:
+        hot = hot_keys(df, keys)
+        salts = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.xxhash64(*keys)], F.lit(1)) if hot else F.lit(1)
+        left = df.withColumn("__sl_salt", F.pmod(F.xxhash64(*df.columns), salts).cast("int"))
+        spread = F.coalesce(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.xxhash64(*[f"__sl_{k}" for k in keys])], F.lit(1)) if hot else F.lit(1)
+        small = spans.withColumn("__sl_at", F.explode(F.sequence(F.lit(0), spread - 1)))
+        same = F.col("__sl_salt") == F.col("__sl_at")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__sl_{k}"))
+    kept = [F.col(c) for c in df.columns if c != payload]
+    return left.join(small, same & within, "left").select(*kept, F.col("__sl_payload").alias(payload))
 
 
 def overlapping_pairs(df: DataFrame, key: list[str], item: str, start: str, end: str, bucket_s: int = 3600) -> DataFrame:
@@ -61,3 +82,9 @@ def rejects(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """df with `reasons`: the names of the checks that fail, in order; an empty list is a clean row."""
     found = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in checks.items()]
     return df.withColumn("reasons", F.filter(F.array(*found), lambda x: x.isNotNull()))
+
+
+def all_errors(found: dict[str, DataFrame]) -> DataFrame:
+    """(code, key) of every error found, each once; `found` has a frame with `key` by code."""
+    parts = [df.select(F.lit(code).alias("code"), F.col("key").cast("string").alias("key")) for code, df in found.items()]
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -61,6 +61,40 @@ def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
     return counts.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def nearest_rank(column: str, q_percent: int) -> Column:
-    """The q-th percentile by nearest rank: an existing value, exact."""
-    return F.expr(f"percentile_disc({q_percent / 100}) WITHIN GROUP (ORDER BY {column})")
+def ultimates(df: DataFrame, origin: str, age: str, amount: str) -> DataFrame:
+    """(origin, age, paid, to_ultimate, ultimate): each origin's latest cumulative amount carried to the end; the oldest age has factor 1."""
+    latest = df.groupBy(origin).agg(F.max(age).alias(age), F.max_by(amount, age).alias("paid"))
+    met = latest.join(F.broadcast(triangle_factors(df, origin, age, amount).select(age, "to_ultimate")), age, "left").na.fill(1.0, ["to_ultimate"])  # a row per age
+    return met.select(origin, age, "paid", "to_ultimate", (F.col("paid") * F.col("to_ultimate")).alias("ultimate"))
+
+
+def weighted_score(df: DataFrame, key: str, as_is: dict[str, float], lower_is_better: dict[str, float]) -> DataFrame:
+    """(key, score, rank) of a short card: weighted sum in percent; the latter columns are scaled so that the best has 1 and the worst 0.
+
+    A column that is alike for all scales to 1, a null one to 0; ties in rank go by key.
+    """
+    ends = df.agg(*[f(c).alias(f"__sl_{n}_{c}") for c in lower_is_better for n, f in (("least", F.min), ("most", F.max))])
+    total = F.lit(0.0)
+    for c, w in as_is.items():
+        total = total + F.coalesce(c, F.lit(0.0)) * w
+    for c, w in lower_is_better.items():
+        least, most = F.col(f"__sl_least_{c}"), F.col(f"__sl_most_{c}")
+        total = total + F.when(F.col(c).isNull(), 0.0).when(most == least, 1.0).otherwise((most - F.col(c)) / (most - least)) * w
+    scored = df.crossJoin(F.broadcast(ends)).select(key, (total * 100).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # a row per card
+
+
+def erlang_agents(load: str, enough) -> Column:  # noqa: ANN001
+    """The fewest agents at which `enough(agents, blocking)` holds, by the Erlang B recursion; null for a null or negative load.
+
+    The candidates end at load + 10 sqrt(load) + 50, where what is blocked or waits is far below any target; so there
+    is no fixed limit, and a row's work is in proportion to its load.
+    """
+    x = F.col(load)
+    last = F.ceil(x + 10 * F.sqrt(x) + 50).cast("int")
+
+    def step(s: Column, n: Column) -> Column:
+        b = x * s["b"] / (n + x * s["b"])
+        return F.struct(b.alias("b"), F.coalesce(s["at"], F.when(enough(n, b), n.cast("bigint"))).alias("at"))
+
+    return F.when(x >= 0, F.aggregate(F.sequence(F.lit(1), last), F.struct(F.lit(1.0).alias("b"), F.lit(None).cast("bigint").alias("at")), step)["at"])

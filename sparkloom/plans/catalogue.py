@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import engine, landing, relational, reports
+from sparkloom.plans import engine, landing, mechanisms, ranks, relational, reports
 
-REGISTRIES = [landing.R, relational.R, engine.R, reports.R]
+REGISTRIES = [landing.R, relational.R, ranks.R, engine.R, mechanisms.R, reports.R]

@@ -13,6 +13,7 @@ from sparkloom.operators.ranking import ranked
 from sparkloom.plans.registry import Registry
 from sparkloom.plans.sqltext import REVENUE, cents, r2, sql_query
 from sparkloom.sources import files
+from sparkloom.session import shared_path
 from sparkloom.sources.tables import table
 from sparkloom.streaming.windows import hourly_counts
 
@@ -43,7 +44,7 @@ def alloc_freight_value(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_b2_b5_alloc_pool_driver",
+    "ref_b2_alloc_pool_driver",
     """WITH d AS (SELECT n_regionkey, n_name, count(c_custkey) FILTER (WHERE c_acctbal > 9990) AS w FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL),
     s AS (SELECT *, sum(w) OVER (PARTITION BY n_regionkey) AS t0, count(*) OVER (PARTITION BY n_regionkey) AS k FROM d),
     e AS (SELECT n_regionkey, n_name, CASE WHEN t0 = 0 THEN 1 ELSE w END AS w, CASE WHEN t0 = 0 THEN k ELSE t0 END AS tot FROM s),
@@ -126,7 +127,7 @@ def amortize_orders(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.amortization(table(spark, sf, "orders").selectExpr("o_orderkey", f"{cents('o_totalprice')} AS principal"), "principal", 600, 12)
 
 
-@R.add("ref_w20_b13_b16_running_totals", "WITH d AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS c FROM events) SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(sum(c) OVER w AS BIGINT) AS spent FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@R.add("ref_w20_running_totals", "WITH d AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS c FROM events) SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(sum(c) OVER w AS BIGINT) AS spent FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def running_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Number and running amount of each user's events, spread over tasks even for a user with most of them."""
     e = table(spark, sf, "events").selectExpr("user_id", "event_id", "ts", f"{cents('value')} AS c")
@@ -171,7 +172,7 @@ def flow_backlog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_b22_b23_sla_breach",
+    "ref_b23_sla_breach",
     f"WITH o AS ({_SHIP}), d AS (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), CAST(closed AS DATE)) AS days, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 200 WHEN '2' THEN 400 WHEN '3' THEN 600 ELSE 900 END AS target FROM o) SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE days > target) AS breaches, {r2('avg(days)')} AS mean_days FROM d GROUP BY o_orderpriority",
 )
 def sla_breach(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +184,7 @@ def sla_breach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_f12_b54_dq_suite",
+    "ref_f12_dq_suite",
     "WITH c AS (SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL), x AS (SELECT o.o_orderdate, l.*, c.copies FROM lineitem l JOIN c USING (l_orderkey, l_linenumber) LEFT JOIN orders o ON o_orderkey = l.l_orderkey) "
     "SELECT concat_ws('+', CASE WHEN o_orderdate IS NULL THEN 'no_order' END, CASE WHEN l_shipdate < o_orderdate THEN 'shipped_before_order' END, CASE WHEN copies > 1 THEN 'duplicate_line' END) AS reasons, count(*) AS n FROM x GROUP BY 1",
 )
@@ -228,7 +229,7 @@ def variance_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_j17_b59_b60_overlap_pairs",
+    "ref_j17_overlap_pairs",
     "WITH i AS (SELECT user_id, event_id, ts AS s, ts + INTERVAL 40 MINUTE AS e FROM events) SELECT a.user_id, a.event_id AS \"left\", b.event_id AS \"right\" FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e",
 )
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -237,12 +238,6 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.overlapping_pairs(e, ["user_id"], "event_id", "s", "e")
 
 
-@R.add("ref_j18_b32_b35_price_tier_asof", "SELECT l_orderkey, l_linenumber, qty, CASE WHEN qty >= 40 THEN 15 WHEN qty >= 20 THEN 10 WHEN qty >= 5 THEN 4 END AS tier_pct FROM (" + _LINES + ")")
-def price_tier_asof(spark: SparkSession, sf: str) -> DataFrame:
-    """The highest tier whose minimum quantity is reached."""
-    return _lines(spark, sf).select("l_orderkey", "l_linenumber", "qty", reconcile.tier_of(F.col("qty"), [(5, 4), (20, 10), (40, 15)]).alias("tier_pct"))
-
-
 @R.add(
     "ref_b33_tier_gaps_and_overlaps",
     "WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding FROM l WHERE nxt <> hi",
@@ -253,7 +248,7 @@ def tier_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_b20_b25_aging_buckets",
+    "ref_b20_aging_buckets",
     f"WITH b(bucket, lo, hi) AS (VALUES ('current', -99999, 0), ('1-30', 1, 30), ('31-60', 31, 60), ('61-90', 61, 90), ('91-plus', 91, 99999)), d AS (SELECT date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-06-30') AS days, {cents('l_extendedprice')} AS cents FROM lineitem) SELECT bucket, count(days) AS n, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cents FROM b LEFT JOIN d ON days BETWEEN lo AND hi GROUP BY bucket",
 )
 def aging_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +269,7 @@ def _monthly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_b80_b82_mrr_movement",
+    "ref_b80_mrr_movement",
     f"WITH x AS ({_MRR}), p AS (SELECT m, lead(m) OVER (ORDER BY m) AS nxt FROM (SELECT DISTINCT m FROM x)), w AS (SELECT o_custkey, nxt AS m, amount AS was FROM x JOIN p USING (m) WHERE nxt IS NOT NULL), "
     "f AS (SELECT coalesce(x.m, w.m) AS m, coalesce(amount, 0) AS now, coalesce(was, 0) AS was FROM x FULL JOIN w ON x.o_custkey = w.o_custkey AND x.m = w.m) "
     "SELECT CAST(m AS DATE) AS m, CAST(sum(was) AS BIGINT) AS opening, CAST(sum(CASE WHEN was = 0 AND now > 0 THEN now ELSE 0 END) AS BIGINT) AS \"new\", CAST(sum(CASE WHEN was > 0 AND now > was THEN now - was ELSE 0 END) AS BIGINT) AS expansion, CAST(sum(CASE WHEN was > 0 AND now > 0 AND now < was THEN was - now ELSE 0 END) AS BIGINT) AS contraction, CAST(sum(CASE WHEN was > 0 AND now = 0 THEN was ELSE 0 END) AS BIGINT) AS churned, CAST(sum(now) AS BIGINT) AS closing FROM f GROUP BY 1",
@@ -310,15 +305,19 @@ _TRI = f"SELECT year(o_orderdate) AS origin, year(l_shipdate) - year(o_orderdate
 
 
 @R.add(
-    "ref_a37_b85_chain_ladder",
+    "ref_a37_chain_ladder",
     f"WITH t AS ({_TRI}), c AS (SELECT origin, age, sum(paid) OVER (PARTITION BY origin ORDER BY age) AS paid FROM t), f AS (SELECT a.age, CAST(sum(b.paid) AS DOUBLE) / CAST(sum(a.paid) AS DOUBLE) AS factor FROM c a JOIN c b ON a.origin = b.origin AND b.age = a.age + 1 GROUP BY a.age) SELECT CAST(age AS BIGINT) AS age, {r2('factor', 6)} AS factor, {r2('product(factor) OVER (ORDER BY age DESC)', 6)} AS to_ultimate FROM f",
 )
 def chain_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Development factors of shipped value by order year and years since, and their products to the end."""
+    return retention.triangle_factors(cumulative_triangle(spark, sf), "origin", "age", "total").selectExpr("age", f"{r2('factor', 6)} AS factor", f"{r2('to_ultimate', 6)} AS to_ultimate")
+
+
+def cumulative_triangle(spark: SparkSession, sf: str) -> DataFrame:
+    """(origin, age, total): shipped value by order year and years since, summed up over the ages."""
     o = table(spark, sf, "lineitem").join(table(spark, sf, "orders", "o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate >= o_orderdate")
     t = o.groupBy(F.year("o_orderdate").alias("origin"), (F.year("l_shipdate") - F.year("o_orderdate")).cast("bigint").alias("age")).agg(F.sum(F.expr(cents("l_extendedprice"))).alias("paid"))
-    cumulative = ranked(t, ["origin"], [F.col("age")], "_rn", {"total": "paid"}).select("origin", "age", "total")
-    return retention.triangle_factors(cumulative, "origin", "age", "total").selectExpr("age", f"{r2('factor', 6)} AS factor", f"{r2('to_ultimate', 6)} AS to_ultimate")
+    return ranked(t, ["origin"], [F.col("age")], "_rn", {"total": "paid"}).select("origin", "age", "total")
 
 
 @R.add(
@@ -331,12 +330,6 @@ def model_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return c.selectExpr("tp", "fp", "fn", "tn", *[f"{r2(f'`{x}`', 6)} AS `{x}`" for x in ("precision", "recall", "f1")])
 
 
-@R.add("ref_a13_nearest_rank_latency", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
-def nearest_rank_latency(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest-rank percentiles of event values."""
-    return table(spark, sf, "events", "event_type", "value").groupBy("event_type").agg(retention.nearest_rank("value", 50).alias("p50"), retention.nearest_rank("value", 95).alias("p95"))
-
-
 @R.add("ref_a26_w1_latest_per_key", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
 def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer's latest order by a partial maximum: no window, no sort of the group."""
@@ -344,34 +337,34 @@ def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("o_custkey", "x.o_orderkey", "x.o_orderstatus")
 
 
+_LOADS = "SELECT DISTINCT CAST(p_size AS DOUBLE) AS load FROM part"
+
+
 @R.add(
     "ref_b43_erlang_agents",
-    "WITH RECURSIVE l AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS load FROM part), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b FROM l UNION ALL SELECT load, n + 1, load * b / (n + 1 + load * b) FROM e WHERE n < 100) SELECT load, CAST(min(n) AS BIGINT) AS agents FROM e WHERE b <= 0.02 GROUP BY load",
+    f"WITH RECURSIVE l AS ({_LOADS}), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b FROM l UNION ALL SELECT load, n + 1, load * b / (n + 1 + load * b) FROM e WHERE b > 0.02) SELECT load, CAST(max(n) AS BIGINT) AS agents FROM e GROUP BY load",
 )
 def erlang_agents(spark: SparkSession, sf: str) -> DataFrame:
-    """The fewest agents that block at most 2 % of a load (Erlang B), by a fold over the candidates."""
-    step = lambda s, n: F.struct((F.col("load") * s["b"] / (n + F.col("load") * s["b"])).alias("b"), F.when((F.col("load") * s["b"] / (n + F.col("load") * s["b"]) <= 0.02) & s["at"].isNull(), n.cast("bigint")).otherwise(s["at"]).alias("at"))
-    loads = table(spark, sf, "part", "p_size").select(F.col("p_size").cast("double").alias("load")).distinct()
-    return loads.select("load", F.aggregate(F.sequence(F.lit(1), F.lit(10_000)), F.struct(F.lit(1.0).alias("b"), F.lit(None).cast("bigint").alias("at")), step)["at"].alias("agents"))
+    """The fewest agents that block at most 2 % of a load (Erlang B)."""
+    loads = _sql_loads(spark, sf)
+    return loads.select("load", retention.erlang_agents("load", lambda n, b: b <= 0.02).alias("agents"))
 
 
 @R.add(
     "ref_b43_erlang_c_agents",
-    "WITH RECURSIVE l AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS load FROM part), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS level FROM l "
-    "UNION ALL SELECT load, n + 1, nb, CASE WHEN n + 1 > load THEN greatest(0, 1 - nb / (1 - load / (n + 1) * (1 - nb)) * exp(-(n + 1 - load) * 20 / 180)) ELSE 0 END FROM (SELECT *, load * b / (n + 1 + load * b) AS nb FROM e WHERE level < 0.8 AND n < 10000)) "
-    "SELECT load, CAST(min(n) AS BIGINT) AS agents FROM e WHERE level >= 0.8 GROUP BY load",
+    f"WITH RECURSIVE l AS ({_LOADS}), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS level FROM l "
+    "UNION ALL SELECT load, n + 1, nb, CASE WHEN n + 1 > load THEN greatest(0, 1 - nb / (1 - load / (n + 1) * (1 - nb)) * exp(-(n + 1 - load) * 20 / 180)) ELSE 0 END FROM (SELECT *, load * b / (n + 1 + load * b) AS nb FROM e WHERE level < 0.8)) "
+    "SELECT load, CAST(max(n) AS BIGINT) AS agents FROM e GROUP BY load",
 )
 def erlang_c_agents(spark: SparkSession, sf: str) -> DataFrame:
-    """The fewest agents (10,000 at most) that answer 80 % of a load's calls of 180 s within 20 s (Erlang C)."""
+    """The fewest agents that answer 80 % of a load's calls of 180 s within 20 s (Erlang C)."""
     load = F.col("load")
+    level = lambda n, b: F.greatest(F.lit(0.0), 1 - b / (1 - load / n * (1 - b)) * F.exp(-(n - load) * 20 / 180))
+    return _sql_loads(spark, sf).select("load", retention.erlang_agents("load", lambda n, b: (n > load) & (level(n, b) >= 0.8)).alias("agents"))
 
-    def step(s: Column, n: Column) -> Column:
-        b = load * s["b"] / (n + load * s["b"])
-        level = F.greatest(F.lit(0.0), 1 - b / (1 - load / n * (1 - b)) * F.exp(-(n - load) * 20 / 180))
-        return F.struct(b.alias("b"), F.coalesce(s["at"], F.when((n > load) & (level >= 0.8), n.cast("bigint"))).alias("at"))
 
-    loads = table(spark, sf, "part", "p_size").select(F.col("p_size").cast("double").alias("load")).distinct()
-    return loads.select("load", F.aggregate(F.sequence(F.lit(1), F.lit(10_000)), F.struct(F.lit(1.0).alias("b"), F.lit(None).cast("bigint").alias("at")), step)["at"].alias("agents"))
+def _sql_loads(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part", "p_size").select(F.col("p_size").cast("double").alias("load")).distinct()
 
 
 _CONTACTS = "SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN concat('user', CAST(c_custkey % 500 AS VARCHAR), '@example.org') WHEN c_custkey % 7 = 0 THEN ' ' END AS email, CASE WHEN c_custkey % 5 = 0 THEN concat('555-', CAST(c_custkey % 300 AS VARCHAR)) END AS phone, c_name AS name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS segment FROM customer"
@@ -467,7 +460,7 @@ def display_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b82_retention_rates",
-    f"SELECT m, {r2('churned / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS churn_rate, {r2('(opening - contraction - churned) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS grr, {r2('(opening - contraction - churned + expansion) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS nrr FROM ({R.sql['ref_b80_b82_mrr_movement']})",
+    f"SELECT m, {r2('churned / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS churn_rate, {r2('(opening - contraction - churned) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS grr, {r2('(opening - contraction - churned + expansion) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS nrr FROM ({R.sql['ref_b80_mrr_movement']})",
 )
 def retention_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Churn rate, gross and net revenue retention of each month; null in a month that opens at zero."""
@@ -478,6 +471,11 @@ _NODES = "SELECT concat('s', CAST(s_suppkey AS VARCHAR)) AS id, 'supplier' AS ty
 _TERMS = "SELECT upper(label) AS term FROM ({n}) n UNION ALL SELECT id FROM ({n}) n UNION ALL SELECT substr(id, 2) FROM ({n}) n UNION ALL SELECT concat(label, '?') FROM ({n}) n"
 
 
+def _nodes(spark: SparkSession, sf: str) -> DataFrame:
+    text = _NODES.replace("VARCHAR", "STRING")
+    return spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", text), **{t: table(spark, sf, t) for t in ("supplier", "nation", "region")})
+
+
 @R.add(
     "ref_b95_term_resolution",
     f"WITH n AS ({_NODES}), t AS (SELECT DISTINCT term FROM ({_TERMS.replace('({n}) n', 'n')})), c AS (SELECT term, id, CASE WHEN id = trim(term) THEN 0 WHEN id = 's' || trim(term) THEN 1 WHEN type = 'supplier' THEN 2 ELSE 3 END AS rk FROM t JOIN n ON id = trim(term) OR id = 's' || trim(term) OR lower(label) = lower(trim(term))) "
@@ -485,8 +483,7 @@ _TERMS = "SELECT upper(label) AS term FROM ({n}) n UNION ALL SELECT id FROM ({n}
 )
 def term_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Ids, bare supplier numbers, labels in another case and unknown words, each with the node it means."""
-    text = _NODES.replace("VARCHAR", "STRING")
-    nodes = spark.sql(re.sub(r"FROM (\w+)", r"FROM {\1}", text), **{t: table(spark, sf, t) for t in ("supplier", "nation", "region")})
+    nodes = _nodes(spark, sf)
     terms = spark.sql(_TERMS.replace("({n})", "{n}"), n=nodes)
     return entities.resolve_terms(terms, nodes, "s", "supplier")
 
@@ -495,7 +492,7 @@ def term_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    "ref_b72_b90_b91_entity_merge",
+    "ref_b90_b91_entity_merge",
     f"WITH c AS ({_CONTACTS}), k AS (SELECT *, coalesce(CASE WHEN trim(email) <> '' THEN '0:' || trim(email) END, CASE WHEN trim(phone) <> '' THEN '1:' || trim(phone) END, '2:' || trim(name)) AS key FROM c) SELECT key, count(*) AS copies, arg_min(segment, seq) FILTER (WHERE segment IS NOT NULL) AS segment, arg_min(name, seq) AS name, coalesce(min(segment) <> max(segment), false) AS segment_conflict, coalesce(min(name) <> max(name), false) AS name_conflict FROM k GROUP BY key",
 )
 def entity_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -514,14 +511,14 @@ def _edges(spark: SparkSession, sf: str) -> DataFrame:
 _EDGES = "SELECT 'n' || n_nationkey AS src, 'in_region' AS rel, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'in_nation', 'n' || s_nationkey FROM supplier"
 
 
-@R.add("ref_b92_b99_graph_neighbours", f"WITH e AS ({_EDGES}) SELECT src AS id, rel, dst AS other, 'out' AS direction FROM e UNION ALL SELECT dst, rel, src, 'in' FROM e")
+@R.add("ref_b92_graph_neighbours", f"WITH e AS ({_EDGES}) SELECT src AS id, rel, dst AS other, 'out' AS direction FROM e UNION ALL SELECT dst, rel, src, 'in' FROM e")
 def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """All neighbours, both ways."""
     return entities.neighbours(_edges(spark, sf))
 
 
 @R.add(
-    "ref_b93_graph_bfs",
+    "ref_b93_graph_distances",
     f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT src AS id, dst AS other FROM e UNION SELECT dst, src FROM e), w(id, distance) AS (SELECT 's0', 0 UNION SELECT u.other, distance + 1 FROM w JOIN u ON u.id = w.id WHERE distance < 8) SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY id",
 )
 def graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
@@ -529,19 +526,20 @@ def graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
     return entities.distances(_edges(spark, sf), "s0")
 
 
-@R.add("ref_b96_b97_graph_counts", f"WITH e AS ({_EDGES}) SELECT dst AS id, rel, count(*) AS n, min(src) AS first_src FROM e GROUP BY dst, rel")
+@R.add("ref_b97_graph_counts", f"WITH e AS ({_EDGES}) SELECT dst AS id, rel, count(*) AS n, min(src) AS first_src FROM e GROUP BY dst, rel")
 def graph_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Degree by relation: a node's context in brief."""
     return _edges(spark, sf).groupBy(F.col("dst").alias("id"), "rel").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("first_src"))
 
 
 @R.add(
-    "ref_b94_b95_b98_search_score",
-    "SELECT row_id, CASE WHEN lower(coalesce(name, '')) = 'road' THEN 100 ELSE 0 END + CASE WHEN starts_with(lower(coalesce(name, '')), 'road') THEN 60 ELSE 0 END + CASE WHEN contains(lower(coalesce(name, '')), 'road') THEN 40 ELSE 0 END + CASE WHEN coalesce(list_contains(string_split(lower(tags), ', '), 'road'), false) THEN 12 ELSE 0 END + CASE WHEN contains(lower(coalesce(description, '')), 'road') THEN 8 ELSE 0 END AS score FROM catalogue_raw",
+    "ref_b98_search_score",
+    """SELECT row_id, CASE WHEN lower(name) = 'road' THEN 100 WHEN lower(name) LIKE 'road%' THEN 60 WHEN lower(name) LIKE '%road%' THEN 40 ELSE 0 END + CASE WHEN lower(tags) LIKE '%road%' THEN 12 ELSE 0 END
+    + CASE WHEN lower(category) LIKE '%road%' THEN 10 ELSE 0 END + CASE WHEN lower(description) LIKE '%road%' THEN 8 ELSE 0 END AS score FROM catalogue_raw""",
 )
 def search_score(spark: SparkSession, sf: str) -> DataFrame:
     """Catalogue entries scored for a term."""
-    return table(spark, sf, "catalogue_raw").select("row_id", entities.search_score(F.col("name"), F.col("description"), F.split(F.lower("tags"), ", "), "road").alias("score"))
+    return table(spark, sf, "catalogue_raw").select("row_id", entities.search_score(F.col("name"), F.col("tags"), F.col("category"), F.col("description"), "road").alias("score"))
 
 
 @R.add(
@@ -557,7 +555,7 @@ def name_normalisers(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("ref_s1_s6_s13_csv_round_trip", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers to an ordered CSV and back under a declared schema."""
-    path = files.shared_path(spark, "supplier")
+    path = shared_path(spark, "supplier")
     files.write_csv(table(spark, sf, "supplier"), path, F.col("s_suppkey"))
     return files.read_csv_declared(spark, path, "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE")
 
@@ -565,7 +563,7 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("ref_s2_csv_sniffed", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_sniffed(spark: SparkSession, sf: str) -> DataFrame:
     """Nations through a CSV whose types are inferred."""
-    path = files.shared_path(spark, "nation")
+    path = shared_path(spark, "nation")
     files.write_csv(table(spark, sf, "nation"), path)
     return files.read_csv_sniffed(spark, path)
 
@@ -573,7 +571,7 @@ def csv_sniffed(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("ref_s3_s4_s11_csv_glob_text_with_tag", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment AS segment FROM customer")
 def csv_glob(spark: SparkSession, sf: str) -> DataFrame:
     """Customers written to a folder per segment, read back by glob as text, the segment taken from the path."""
-    path = files.shared_path(spark, "customer")
+    path = shared_path(spark, "customer")
     table(spark, sf, "customer", "c_custkey", "c_name", "c_mktsegment").write.partitionBy("c_mktsegment").option("header", True).csv(path)
     text = files.read_csv_text(spark, f"{path}/c_mktsegment=*/", ["c_custkey", "c_name"])
     return files.with_file_tag(text, "segment", r"c_mktsegment=([^/]+)/")
@@ -588,16 +586,16 @@ def header_synonyms(spark: SparkSession, sf: str) -> DataFrame:
     return files.canonical_headers(a, known).unionByName(files.canonical_headers(b, known))
 
 
-@R.add("ref_s7_s14_s15_geojson_round_trip", "SELECT row_id, evcsid, lon, lat FROM ev_raw")
+@R.add("ref_s7_s14_geojson_round_trip", "SELECT row_id, evcsid, lon, lat FROM ev_raw")
 def geojson_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Chargers to GeoJSON features and back."""
-    path = files.shared_path(spark, "ev")
+    path = shared_path(spark, "ev")
     files.point_features(table(spark, sf, "ev_raw", "row_id", "evcsid", "lon", "lat"), "lon", "lat", ["row_id", "evcsid"]).write.text(path)
     return files.read_features(spark, path, "row_id: BIGINT, evcsid: STRING")
 
 
 @R.add(
-    "ref_s8_x4_ring_centroid",
+    "ref_x4_ring_centroid",
     f"WITH v AS (SELECT zone_id, ring, unnest(range(1, len(ring))) AS i FROM zones), e AS (SELECT zone_id, ring[1].lon AS x0, ring[1].lat AS y0, ring[i].lon - ring[1].lon AS ax, ring[i].lat - ring[1].lat AS ay, ring[i+1].lon - ring[1].lon AS bx, ring[i+1].lat - ring[1].lat AS by2 FROM v) SELECT zone_id, {r2('min(x0) + sum((ax + bx) * (ax * by2 - bx * ay)) / (3 * sum(ax * by2 - bx * ay))', 5)} AS lon, {r2('min(y0) + sum((ay + by2) * (ax * by2 - bx * ay)) / (3 * sum(ax * by2 - bx * ay))', 5)} AS lat FROM e GROUP BY zone_id",
 )
 def ring_centroid(spark: SparkSession, sf: str) -> DataFrame:
@@ -606,10 +604,10 @@ def ring_centroid(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "zones", "zone_id", "ring").select("zone_id", lon.alias("lon"), lat.alias("lat")).selectExpr("zone_id", f"{r2('lon', 5)} AS lon", f"{r2('lat', 5)} AS lat")
 
 
-@R.add("ref_s9_s18_s19_b61_parquet_store", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
+@R.add("ref_s9_parquet_store", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def parquet_store(spark: SparkSession, sf: str) -> DataFrame:
     """Customers inserted into a partitioned store, consolidated from it by partition."""
-    path = files.shared_path(spark, "store")
+    path = shared_path(spark, "store")
     table(spark, sf, "customer", "c_custkey", "c_mktsegment").write.partitionBy("c_mktsegment").parquet(path)
     return spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 

@@ -27,11 +27,36 @@ def build_session(app: str = "sparkloom", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by spark.checkpoint.dir; only where it is unset (tests), make one."""
+    """Use the shared folder named by spark.checkpoint.dir; where it is unset, make one if all executors are on this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "sparkloom-checkpoints"))
+
+
+_written: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str = "") -> str:
+    """A new place in the folder all executors share; what is put there goes with `release`, or when the application ends."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    _written.setdefault(sc.applicationId, []).append(path)
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return f"{path}/{name}" if name else path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has put in the shared folder so far; frames that still read it are lost."""
+    sc = spark.sparkContext
+    for path in _written.pop(sc.applicationId, []):
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,7 +67,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """df as a compressed table in the shared checkpoint folder, read back; cuts the lineage like `cut`."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = shared_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

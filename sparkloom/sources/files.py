@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from sparkloom.session import ensure_checkpoint_dir
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder all executors share."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}/{name}"
+from sparkloom.session import written
 
 
 def read_csv_declared(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -71,6 +63,35 @@ def read_feature_collection(spark: SparkSession, path: str, properties: str) ->
     return f.select("f.properties.*", F.element_at("f.geometry.coordinates", 1).alias("lon"), F.element_at("f.geometry.coordinates", 2).alias("lat"))
 
 
+def polygon_features(df: DataFrame, ring: str, properties: list[str]) -> DataFrame:
+    """One GeoJSON feature text per row with a polygon of one ring; a null ring is a null geometry."""
+    geometry = F.when(F.col(ring).isNotNull(), F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(ring, lambda p: F.array(p["lon"], p["lat"]))).alias("coordinates")))
+    return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry")), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def read_polygons(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """Rows of a file of GeoJSON polygon features, one a line: the properties and the outer ring."""
+    schema = f"type STRING, properties STRUCT<{properties}>, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>"
+    outer = F.transform(F.element_at("geometry.coordinates", 1), lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
+    return spark.read.schema(schema).json(path).select("properties.*", outer.alias("ring"))
+
+
+def write_both(df: DataFrame, path: str, lon: str, lat: str, properties: list[str]) -> tuple[str, str]:
+    """A mart to a CSV and a GeoJSON sink; it is made once, written, and both sinks are fed from that. The places of the two."""
+    made = written(df)
+    write_csv(made, f"{path}/csv")
+    point_features(made, lon, lat, properties).write.text(f"{path}/geojson")
+    return f"{path}/csv", f"{path}/geojson"
+
+
+def bulk_load(texts: DataFrame, schema: str, path: str) -> DataFrame:
+    """Rows of texts cast by a declared schema (in its order) into a parquet store, and the store; a text that doesn't cast is null."""
+    spark = texts.sparkSession
+    types = spark.createDataFrame([], schema).schema
+    texts.select(*[F.col(c).try_cast(f.dataType).alias(f.name) for c, f in zip(texts.columns, types, strict=True)]).write.mode("append").parquet(path)
+    return spark.read.schema(types).parquet(path)
+
+
 def ring_centroid(ring: str) -> tuple[Column, Column]:
     """Longitude and latitude of a ring's centroid by the shoelace formula, relative to its first corner."""
     x0, y0 = F.col(ring)[0]["lon"], F.col(ring)[0]["lat"]
