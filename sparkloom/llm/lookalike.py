@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from sparkloom.operators.skew import bounded_broadcast, hot_keys, salted_join
+
 # Look-alikes that the ICU data lacks or gives another reading.
 EXTRA_PAIRS = (("ӏ", "l"), ("ı", "ı"), ("∕", "/"), ("－", "-"), ("（", "("), ("）", ")"), ("＆", "&"))
 # Characters that show nothing although they are not of the format category.
@@ -32,7 +34,6 @@ INVISIBLE = {"͏", "ᅟ", "ᅠ", "឴", "឵", "᠋", "᠌", "᠍", "᠎", "ㅤ"
 BLANK = {"⠀", "\u0085", " ", " "}
 #: Compatibility forms that keep the look; super- and subscripts, fractions and squares don't.
 SAME_LOOK = ("<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>")
-LAST_CODE_POINT = 0x1FFFF
 _PLAIN = re.compile(r"[ \t\r\n\f\v]+")
 
 
@@ -70,6 +71,12 @@ class UnionFind:
         return by.values()
 
 
+def _assigned() -> Iterator[int]:
+    """All code points that can stand for a character: the planes in use, without the private ones."""
+    for first, last in ((0, 0xDFFF), (0xF900, 0x33FFF), (0xE0000, 0xE01FF)):
+        yield from (i for i in range(first, last + 1) if not 0xD800 <= i <= 0xDFFF)
+
+
 def _icu_skeletons(spark: SparkSession, chars: list[str]) -> dict[str, str]:
     checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
     return dict(zip(chars, checker.getSkeleton("\n".join(chars)).split("\n"), strict=True))
@@ -78,7 +85,7 @@ def _icu_skeletons(spark: SparkSession, chars: list[str]) -> dict[str, str]:
 def lookalike_pairs(spark: SparkSession) -> Iterator[tuple[str, str]]:
     """(code point, string that looks the same), over all of Unicode; a bounded, fixed set."""
     plain = [chr(c) for c in range(0x21, 0x7F)]
-    chars = [c for i in range(0x21, LAST_CODE_POINT + 1) if (c := chr(i)) not in INVISIBLE and unicodedata.category(c)[0] not in "CMZ"]
+    chars = [c for i in _assigned() if i > 0x20 and (c := chr(i)) not in INVISIBLE and unicodedata.category(c)[0] not in "CMZ"]
     skeleton = _icu_skeletons(spark, chars)
     plain_of = defaultdict(list)
     for c in plain:
@@ -115,11 +122,12 @@ def rewrite_rules(spark: SparkSession, names: Counter[str]) -> dict[str, str]:
 
 
 def char_frequencies(reference: DataFrame, name: str) -> Counter[str]:
-    """How often each character stands in the reference names; counted in the engine, bounded by Unicode."""
+    """How often each character, and each letter with its accents, stands in the reference names; counted in the engine, bounded by Unicode."""
     chars = reference.where(F.col(name).isNotNull()).select(F.explode(F.split(name, "")).alias("c")).groupBy("c").count()
     count: Counter[str] = Counter()
     for c, n in chars.collect():
-        for part in unicodedata.normalize("NFD", c):
+        whole = unicodedata.normalize("NFD", c)
+        for part in {whole, *whole}:
             count[part] += n
     return count
 
@@ -133,7 +141,7 @@ class Rewriter:
         self.automaton = ahocorasick.Automaton()
         for a, b in rules.items():
             self.automaton.add_word(a, (len(a), b))
-        for i in range(LAST_CODE_POINT + 1):
+        for i in _assigned():
             c = chr(i)
             kind = unicodedata.category(c)
             if c in INVISIBLE or kind == "Cf":
@@ -155,12 +163,14 @@ class Rewriter:
         if text is None:
             return None
         if not text.isascii():
-            text = unicodedata.normalize("NFD", text)
-            out, at = [], 0
-            for end, (size, new) in self.automaton.iter_long(text):
-                out += (text[at : end + 1 - size], new)
-                at = end + 1
-            text = unicodedata.normalize("NFD", "".join(out) + text[at:])
+            text, seen = unicodedata.normalize("NFD", text), set()
+            while text not in seen and not text.isascii():  # what was rewritten may stand together as another pattern
+                seen.add(text)
+                out, at = [], 0
+                for end, (size, new) in self.automaton.iter_long(text):
+                    out += (text[at : end + 1 - size], new)
+                    at = end + 1
+                text = unicodedata.normalize("NFD", "".join(out) + text[at:])
         return fold_plain(text) or None
 
 
@@ -188,16 +198,23 @@ def with_canonical(df: DataFrame, text: str, rules: dict[str, str], canon: str =
     return df.mapInArrow(convert, schema)
 
 
-def match_disguised(texts: DataFrame, text: str, register: DataFrame, name_id: str, name: str, rules: dict[str, str], broadcast_rows: int = 100_000) -> DataFrame:
+def match_disguised(texts: DataFrame, text: str, register: DataFrame, name_id: str, name: str, rules: dict[str, str]) -> DataFrame:
     """Rows of texts that read as a registered name but are made of other characters, with its id.
 
-    Of registered names that read alike the one with the smallest id counts. The register is
-    broadcast only up to broadcast_rows names. A column of texts called like the id is replaced.
+    Of registered names that read alike the one with the smallest id counts. The register is brought to one row per
+    form; it is broadcast while names and bytes are few (counted), else joined with hot forms spread over salts. A
+    column of texts called like the id is replaced.
     """
     known = register.select(name_id, name).where(F.col(name).isNotNull())
     canon, plain, names = "__sl_canon", "__sl_plain", "__sl_names"
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length(name)).alias("width")).first()
     forms = with_canonical(known, name, rules, canon, plain).where(F.col(canon).isNotNull())
     forms = forms.groupBy(canon).agg(F.min(name_id).alias(name_id), F.collect_set(plain).alias(names))
-    forms = F.broadcast(forms) if register.count() <= broadcast_rows else forms
-    met = with_canonical(texts.drop(name_id), text, rules, canon, plain).where(F.col(canon).isNotNull()).join(forms, canon)
+    small = bounded_broadcast(forms, size["n"], 4 * (size["width"] or 0) + 64)
+    read = with_canonical(texts.drop(name_id), text, rules, canon, plain).where(F.col(canon).isNotNull())
+    if small is not forms:
+        met = read.join(small, canon)
+    else:
+        spread = [c for c in texts.columns if c not in (name_id, text)] or [canon]
+        met = salted_join(read, forms, [canon], spread, hot_keys(read, [canon]))
     return met.where(~F.array_contains(names, F.col(plain))).drop(canon, plain, names)

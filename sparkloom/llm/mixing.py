@@ -22,7 +22,7 @@ from sparkloom.session import cut
 
 
 def source_rates(sized: DataFrame, targets: DataFrame, source: str, size: str, total: float | None = None) -> DataFrame:
-    """One row per target source: what it has, its target share and its rate of repetition."""
+    """One row per target source: what it has, its target share, its rate of repetition, and whether it binds the size of the mix."""
     have = sized.groupBy(source).agg(F.sum(size).cast("bigint").alias("have"), F.count(F.lit(1)).alias("docs"))
     wanted = targets.where(F.col(source).isNotNull()).groupBy(source).agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     known = wanted.join(have, source, "left").na.fill(0, ["have", "docs"])
@@ -32,6 +32,8 @@ def source_rates(sized: DataFrame, targets: DataFrame, source: str, size: str, t
     out = known.withColumn("target_share", share)
     largest = F.min(F.col("have") * F.col("max_repeats") / F.col("target_share")).over(all_rows)
     out = out.withColumn("mix_total", F.lit(float(total)) if total is not None else largest)
+    # The source that lets the mix be no larger: used as often as it may be.
+    out = out.withColumn("binding", F.coalesce(usable & (F.col("have") * F.col("max_repeats") / F.col("target_share") <= F.col("mix_total")), F.lit(False)))
     rate = F.least(F.col("max_repeats").cast("double"), F.col("mix_total") * F.col("target_share") / F.col("have"))
     return out.withColumn("rate", F.coalesce(F.when(usable, rate), F.lit(0.0)))
 

@@ -12,7 +12,8 @@ from sparkloom.llm.lookalike import char_frequencies, match_disguised, rewrite_r
 from sparkloom.llm.mixing import mix, share_report, sized_documents, source_rates
 from sparkloom.llm.subjects import fitted, leaf_report, subjects_of
 from sparkloom.llm.survivors import consensus_survivors
-from sparkloom.llm.tokens import with_ids, with_text, with_token_count
+from sparkloom.llm.tokens import MULTI_RANKS, with_ids, with_text, with_token_count
+from sparkloom.operators.skew import bounded_broadcast
 from sparkloom.operators.timestamps import wall_day, with_utc_micros
 from sparkloom.plans.registry import Registry
 from sparkloom.session import written
@@ -34,12 +35,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return match_disguised(texts, "text", register, "name_id", "name", rules).select("table_name", "row_id", "name_id")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A small dimension, broadcast if it is one (counted)."""
+    return bounded_broadcast(df, df.count())
+
+
 def _dated_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Counts with highway and section number, Halifax day, trust and what is usable."""
     number = lambda k: F.regexp_replace(F.regexp_extract("section_id", r"\A\P{Nd}*(\p{Nd}+)\P{Nd}+(\p{Nd}+)\P{Nd}*\z", k), r"\A0+(?=\d)", "")
     counts = table(spark, sf, "raw_counts", "row_id", "section_id", "count_date", "section_description", "county", "feed", "loaded_at")
-    trust = F.broadcast(table(spark, sf, "feed_trust", "feed", "trust").groupBy("feed").agg(F.max("trust").alias("trust")))  # a few rows, one per feed
-    codes = F.broadcast(table(spark, sf, "county_codes").select(F.col("county").alias("_code"), F.lit(True).alias("_known")).distinct())  # one row per county
+    trust = _few(table(spark, sf, "feed_trust", "feed", "trust").groupBy("feed").agg(F.max("trust").alias("trust")))
+    codes = _few(table(spark, sf, "county_codes").select(F.col("county").alias("_code"), F.lit(True).alias("_known")).distinct())
     ready = (
         counts.join(trust, "feed", "left")
         .withColumn("_code", F.upper(F.trim("county")))
@@ -87,6 +93,19 @@ def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return with_text(with_ids(table(spark, sf, "documents", "doc_id", "text")).select("doc_id", "ids")).select("doc_id", "text")
 
 
+@R.add("p8_ids_multi")
+def p8_ids_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Token ids of every document by the vocabulary for many languages."""
+    return with_ids(table(spark, sf, "documents", "doc_id", "text"), ranks=MULTI_RANKS).select("doc_id", "ids")
+
+
+@R.add("p8_decoded_multi", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p8_decoded_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact round trip with the vocabulary for many languages."""
+    ids = with_ids(table(spark, sf, "documents", "doc_id", "text"), ranks=MULTI_RANKS).select("doc_id", "ids")
+    return with_text(ids, ranks=MULTI_RANKS).select("doc_id", "text")
+
+
 def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return sized_documents(table(spark, sf, "documents", "doc_id", "source", "text"), with_token_count)
 

@@ -14,7 +14,7 @@ pytest.importorskip("sparkloom.llm")
 from sparkloom.llm import lookalike, mixing, subjects, survivors, tokens  # noqa: E402
 from sparkloom.llm import queries as Q  # noqa: E402
 
-NAMES = ["Coffin Point Rd", "Île Verte 11", "Lot II", "Новый Берег", "Oland Way", "Öland Way", "Lilac Hill"]
+NAMES = ["Coffin Point Rd", "Île Verte 11", "Lot II", "Новый Берег", "Oland Way", "Öland Way", "Lilac Hill", "Côte-Brûlée"]
 
 
 # Look-alikes ---------------------------------------------------------------------
@@ -30,19 +30,23 @@ def test_union_find_keeps_anchors_apart():
     assert u.find("y") == u.find("a") != u.find("z")
 
 
-def test_disguised_names(spark, rules):
+def test_disguised_names(spark, rules, monkeypatch):
     register = spark.createDataFrame([(i, n) for i, n in enumerate(NAMES)] + [(99, None), (98, " ")], "name_id long, name string")
     disguised = {
         "Ｃｏｆｆｉｎ　Ｐｏｉｎｔ　Ｒｄ": 0, "Coﬃn Point Rd": 0, "Соffin Pоint Rd": 0, "Coff​in Po­int Rd﻿": 0, "𝖢𝗈𝖿𝖿𝗂𝗇 Point Rd": 0,
         "Île Verte 11": 1, "Île Verte １1": 1, "Lot Ⅱ": 2, "Öland Way": 5, "ᏞiӀac Hill": None, "Liӏac Hill": 6, "Lilac　Hill": 6,
     }
-    plain = ["Coffin Point Rd", "  Coffin \t Point\r\nRd ", "COFFIN POINT RD", "Coffin Point", "lle Verte 11", "Île Verte ll", "Ile Verte 11", "Nowhere", None, "", "   ", "​"]
+    disguised |= {"Ｃｏ̂ｔｅ－Ｂｒｕ̂ｌｅ́ｅ": 7, "Ｃôte-Brûlée": 7, "Co\u0302te-Bru\u0302le\u0301e ": 7}
+    plain = ["Coffin Point Rd", "Cote-Brulee", "Côte-Brûlée ", "  Coffin \t Point\r\nRd ", "COFFIN POINT RD", "Coffin Point", "lle Verte 11", "Île Verte ll", "Ile Verte 11", "Nowhere", None, "", "   ", "​"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*disguised, *plain, *disguised])], "row_id long, text string")
     got = {r.row_id: r.name_id for r in lookalike.match_disguised(df, "text", register, "name_id", "name", rules).collect()}
     want = {i: n for i, n in enumerate(disguised.values()) if n is not None}
     n = len(disguised) + len(plain)
     assert got == want | {i + n: k for i, k in want.items()}
     assert lookalike.match_disguised(df.limit(0), "text", register, "name_id", "name", rules).count() == 0
+    monkeypatch.setattr("sparkloom.operators.skew.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("sparkloom.operators.skew.hot_keys.__defaults__", (0.05, 1))
+    assert {r.row_id: r.name_id for r in lookalike.match_disguised(df, "text", register, "name_id", "name", rules).collect()} == got
     clash = df.withColumns({c: F.lit("x") for c in ("canon", "plain", "name_id", "_names")})
     assert {r.row_id: r.name_id for r in lookalike.match_disguised(clash, "text", register, "name_id", "name", rules).collect()} == got
 
@@ -176,8 +180,18 @@ def test_ids_round_trip_and_parts(spark):
     for _ in range(300):
         text = " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))
         whole = codec.encoding.encode_ordinary(text)
-        assert [i for p in tokens.safe_parts(text, 7) for i in codec.encoding.encode_ordinary(p)] == whole
+        assert [i for p in tokens.safe_parts(text, codec.safe, 7) for i in codec.encoding.encode_ordinary(p)] == whole
         assert codec.decode(whole) == text
+    for whole, most in (("Новый берег и порт " * 5000, 80_000), ("港口委员会批准了新的预算。" * 9000, 80_000), ("日本 港 " * 20_000, 80_000), ("x" * 200_000, 200_000)):
+        parts = list(tokens.safe_parts(whole, codec.safe))
+        assert max(map(len, parts)) <= most and "".join(parts) == whole
+        assert [i for p in parts for i in codec.encoding.encode_ordinary(p)] == codec.encoding.encode_ordinary(whole)
+    alphabet = "aé'sdt1٣½ \t\n\u00a0\u0085\x1c\u3000!.,\"字ぁ。ЖÀ_-ᛁ"
+    for _ in range(400):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30)))
+        assert [i for p in tokens.safe_parts(text, codec.safe, 1) for i in codec.encoding.encode_ordinary(p)] == codec.encoding.encode_ordinary(text)
+    multi = tokens.Codec(tokens.read_ranks(tokens.MULTI_RANKS), safe=None)
+    assert multi.decode(multi.encode("Новый берег").tolist()) == "Новый берег" and multi.encode("Новый берег").tolist() != codec.encode("Новый берег").tolist()
     long = "word and more. " * 20_000 + "y" * 3000
     df = spark.createDataFrame([(1, None), (2, ""), (3, "  "), (4, long), (5, "<|endoftext|>"), (5, "<|endoftext|>")], "doc_id long, text string")
     rows = tokens.with_text(tokens.with_ids(df.withColumn("other", F.lit(1))).drop("text")).collect()
@@ -203,6 +217,7 @@ def test_mix_meets_shares_and_caps(spark):
     report = {r.source: r for r in mixing.share_report(out, rates, "source", "n_tokens").collect()}
     for s, share in (("a", 1 / 3), ("b", 1 / 2), ("c", 1 / 6)):
         assert abs(report[s].target_share - share) < 1e-9 and abs(report[s].actual_share - share) < 0.01
+    assert [s for s, r in report.items() if r.binding] == ["b" if report["b"].rate == 2.0 else "a" if report["a"].rate == 1.0 else "c"]
     assert report["gone"].actual_share == 0 and report["gone"].target_share is None and report["d"].mix_docs == 0
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(sized, rates, "doc_id", "source").select(*out.columns).collect()))
     big = mixing.source_rates(sized, targets, "source", "n_tokens", total=10**9).collect()
