@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import math
 import os
 import random
+import re
+import unicodedata
 from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ pytest.importorskip("sparkloom.llm")
 
 from sparkloom.llm import lookalike, mixing, subjects, survivors, tokens  # noqa: E402
 from sparkloom.llm import queries as Q  # noqa: E402
+from sparkloom.operators import timestamps  # noqa: E402
 
 NAMES = ["Coffin Point Rd", "Île Verte 11", "Lot II", "Новый Берег", "Oland Way", "Öland Way", "Lilac Hill", "Côte-Brûlée"]
 
@@ -307,6 +312,115 @@ def test_bisecting_centres():
     assert len(subjects.bisecting_centres(np.ones((9, 4)), 6, 8)) == 1 and subjects.bisecting_centres(np.zeros((0, 4)), 6, 8).shape == (1, 4)
 
 
+# The queries on the given tables --------------------------------------------------------------
+@pytest.fixture(scope="module")
+def larger(sf):
+    folder = sf.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no larger test data")
+    return folder
+
+
+def rows_of(spark, folder, name):
+    return spark.read.parquet(f"{folder}/{name}.parquet").collect()
+
+
+def test_p3_like_brute_force(spark, larger):
+    register = rows_of(spark, larger, "name_register")
+    rules = lookalike.rewrite_rules(spark, lookalike.char_frequencies(spark.read.parquet(f"{larger}/name_register.parquet"), "name"))
+    longest = max(map(len, rules))
+
+    def reads(text):
+        """The text rewritten at each place by the longest rule there, again until nothing changes."""
+        text, before = unicodedata.normalize("NFD", text), None
+        while text != before:
+            before, out, at = text, "", 0
+            while at < len(text):
+                size = next((n for n in range(longest, 0, -1) if text[at : at + n] in rules and len(text[at : at + n]) == n), 0)
+                c = text[at]
+                if size:
+                    out += rules[text[at : at + size]]
+                elif c in lookalike.INVISIBLE or unicodedata.category(c) == "Cf" or 0xE0000 <= ord(c) < 0xE01F0:
+                    out += ""
+                else:
+                    out += " " if c in lookalike.BLANK or unicodedata.category(c) == "Zs" else c
+                at += max(1, size)
+            text = unicodedata.normalize("NFD", out)
+        return re.sub(r"[ \t\r\n\f\v]+", " ", text).strip(" ")
+
+    plain = lambda x: re.sub(r"[ \t\r\n\f\v]+", " ", x).strip(" ")
+    by_form: dict[str, list] = {}
+    for r in register:
+        by_form.setdefault(reads(r.name), []).append((r.name_id, plain(r.name)))
+    want = set()
+    for name, field in Q.NAME_FIELDS:
+        for r in rows_of(spark, larger, name):
+            if r[field] and (met := by_form.get(reads(r[field]))) and plain(r[field]) not in {n for _, n in met}:
+                want.add((name, r.row_id, min(i for i, _ in met)))
+    assert len(want) > 100 and {tuple(r) for r in Q.p3_found(spark, larger).collect()} == want
+
+
+def test_p7_like_brute_force(spark, larger):
+    trust = {r.feed: r.trust for r in rows_of(spark, larger, "feed_trust")}
+    codes = {r.county for r in rows_of(spark, larger, "county_codes")}
+    zone = timestamps.zone_table(spark)
+    counts = rows_of(spark, larger, "raw_counts")
+    moments = timestamps.utc_micros(pa.array([r.count_date for r in counts], pa.string()), zone).to_pylist()
+    groups: dict = {}
+    for r, us in zip(counts, moments, strict=True):
+        numbers = re.findall(r"\d+", r.section_id or "")
+        if us is not None and len(numbers) == 2:
+            day = int(zone.to_wall(np.array([us // 10**6]))[0]) // 86_400
+            groups.setdefault((*map(int, numbers), day), []).append(r)
+    want = set()
+    for rows in groups.values():
+        if len(rows) > 1:
+            for field, usable in (("county", lambda v: v.strip(" ").upper() in codes), ("section_description", lambda v: len(" ".join(v.split())) >= 10)):
+                good = [r for r in rows if r[field] is not None and usable(r[field])]
+                if good:
+                    best = max(good, key=lambda r: (trust.get(r.feed, 0), r.loaded_at, -r.row_id))
+                    want.add((min(r.row_id for r in rows), field, best.row_id))
+    assert len(want) > 500 and {tuple(r) for r in Q.p7_found(spark, larger).collect()} == want
+
+
+@needs_ranks
+def test_p9_on_given_tables(spark, larger):
+    codec = tokens.Codec(tokens.read_ranks())
+    targets = {r.source: r for r in rows_of(spark, larger, "mix_targets")}
+    size = {r.doc_id: (r.source, len(codec.encode(r.text))) for r in rows_of(spark, larger, "documents")}
+    have = Counter()
+    for s, n in size.values():
+        have[s] += n
+    wanted = {s: r.target_weight for s, r in targets.items() if have[s] and r.target_weight > 0 and r.max_repeats > 0}
+    share = {s: w / sum(wanted.values()) for s, w in wanted.items()}
+    total = min(have[s] * targets[s].max_repeats / share[s] for s in wanted)
+    copies, got = Counter(), Counter()
+    for r in Q.p9_mix(spark, larger).collect():
+        copies[r.doc_id] += 1
+        got[r.source] += r.n_tokens
+        assert (r.source, r.n_tokens) == size[r.doc_id]
+    for s in wanted:
+        rate = min(targets[s].max_repeats, total * share[s] / have[s])
+        own = [(d, n) for d, (x, n) in size.items() if x == s]
+        assert all(copies[d] in (math.floor(rate), math.ceil(rate)) and copies[d] <= targets[s].max_repeats for d, n in own)
+        f = rate % 1
+        assert abs(got[s] - rate * have[s]) <= 5 * math.sqrt(f * (1 - f) * sum(n * n for _, n in own)) + 1e-6
+    assert set(got) <= set(wanted)
+    report = {r.source: r for r in Q.p9_shares(spark, larger).collect()}
+    assert all(abs(report[s].actual_share - got[s] / sum(got.values())) < 1e-12 and abs(report[s].target_share - share[s]) < 1e-12 for s in wanted)
+    assert [s for s in report if report[s].binding] == [s for s in wanted if math.isclose(have[s] * targets[s].max_repeats / share[s], total)]
+
+
+def test_p10_on_given_tables(spark, larger):
+    got = {(r.doc_id, r.subject) for r in Q.p10_found(spark, larger).collect()}
+    known = {r.subject for r in rows_of(spark, larger, "subjects")}
+    labels = {(r.doc_id, r.subject) for r in rows_of(spark, larger, "doc_labels") if r.subject in known}
+    assert {s for _, s in got} == known and len({d for d, _ in got}) > 700
+    assert len(labels & got) > 0.88 * len(labels)  # some labels are wrong
+    composition = {r.subject: r.documents for r in Q.p10_composition(spark, larger).collect()}
+    assert composition == Counter(s for _, s in got)
+
+
 @needs_ranks
 def test_queries_run(spark, sf):
     for name, query in Q.R.queries.items():
