@@ -53,13 +53,14 @@ def _cell_of(lon: Column, n: Column) -> Column:
     return F.pmod(F.floor((lon + 180) / 360 * n), n)
 
 
-def pairs_within(left: DataFrame, right: DataFrame | None, radius_m: float) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame | None, radius_m: float, once: bool = True) -> DataFrame:
     """Pairs (left_key, right_key) of (key, lat, lon) points at most radius_m apart, anywhere on the sphere.
 
     With right None the left points are paired with each other, two different keys, the smaller
     first. The right side should be the larger one: it stays in place, the left one is laid out
     over nine cells. Cells follow the latitude: bands a shade higher than the radius, each cut into
-    equal cells around the globe, fewer towards the poles.
+    equal cells around the globe, fewer towards the poles. With `once` False a pair may come out again for
+    each place that its keys have, for callers that make several results distinct together.
     """
     dy = radius_m / DEGREE_M * 1.000001
     big = (left if right is None else right).withColumn("cy", _band(F.col("lat"), dy)).withColumn("cx", _cell_of(F.col("lon"), _cells_in(F.col("cy"), dy, radius_m)))
@@ -71,7 +72,8 @@ def pairs_within(left: DataFrame, right: DataFrame | None, radius_m: float) -> D
     if right is None:
         met = met.where(F.col("left_key") < F.col("key"))
     close = met.where(great_circle_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
-    return close.select("left_key", F.col("key").alias("right_key")).distinct()
+    pairs = close.select("left_key", F.col("key").alias("right_key"))
+    return pairs.distinct() if once else pairs
 
 
 def region_cells(regions: DataFrame, region_id: str, ring: str, step: float) -> DataFrame:
@@ -108,10 +110,11 @@ def region_index(regions: DataFrame, region_id: str = "zone_id", ring: str = "ri
     return (F.broadcast(cells) if few else cells), few
 
 
-def points_in_regions(points: DataFrame, index: tuple[DataFrame, bool], step: float = 0.05) -> DataFrame:
+def points_in_regions(points: DataFrame, index: tuple[DataFrame, bool], step: float = 0.05, once: bool = True) -> DataFrame:
     """Pairs (left_key: region id, right_key: point key) of the points inside each region; the index comes from region_index with the same step."""
     cells, few = index
     placed = points.withColumn("cy", F.floor(F.col("lat") / step)).withColumn("cx", F.floor(F.col("lon") / step))
     hot = {} if few else hot_keys(placed, ["cy", "cx"])
     met = salted_join(placed, cells, ["cy", "cx"], ["key", "lat", "lon"], hot).where(inside(F.col("edges"), F.col("lat"), F.col("lon")))
-    return met.select(F.col("rid").alias("left_key"), F.col("key").alias("right_key")).distinct()
+    pairs = met.select(F.col("rid").alias("left_key"), F.col("key").alias("right_key"))
+    return pairs.distinct() if once else pairs

@@ -127,7 +127,9 @@ def amortize_orders(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.amortization(table(spark, sf, "orders").selectExpr("o_orderkey", f"{cents('o_totalprice')} AS principal"), "principal", 600, 12)
 
 
-@R.add("ref_w20_running_totals", "WITH d AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS c FROM events) SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(sum(c) OVER w AS BIGINT) AS spent FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@R.add("ref_w20_running_totals", """WITH d AS (SELECT user_id, event_id, ts, CAST(round(value * 100) AS BIGINT) AS c
+        FROM events) SELECT user_id, event_id, CAST(row_number() OVER w AS BIGINT) AS rn, CAST(sum(c) OVER w AS BIGINT) AS spent
+    FROM d WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Number and running amount of each user's events, spread over tasks even for a user with most of them."""
     e = table(spark, sf, "events").selectExpr("user_id", "event_id", "ts", f"{cents('value')} AS c")
@@ -173,7 +175,10 @@ def flow_backlog(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b23_sla_breach",
-    f"WITH o AS ({_SHIP}), d AS (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), CAST(closed AS DATE)) AS days, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 200 WHEN '2' THEN 400 WHEN '3' THEN 600 ELSE 900 END AS target FROM o) SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE days > target) AS breaches, {r2('avg(days)')} AS mean_days FROM d GROUP BY o_orderpriority",
+    f"""WITH o AS ({_SHIP}), d AS (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), CAST(closed AS DATE)) AS days, CASE substr(o_orderpriority,
+                1, 1) WHEN '1' THEN 200 WHEN '2' THEN 400 WHEN '3' THEN 600 ELSE 900 END AS target
+        FROM o) SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE days > target) AS breaches, {r2('avg(days)')} AS mean_days
+    FROM d GROUP BY o_orderpriority""",
 )
 def sla_breach(spark: SparkSession, sf: str) -> DataFrame:
     """Days to close against a target by priority; a breach is strictly over it."""
@@ -207,7 +212,9 @@ def reason_lists(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@R.add("ref_b55_total_is_sum_of_parts", "SELECT o_orderdate, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') + count(*) FILTER (WHERE o_orderstatus = 'F') + count(*) FILTER (WHERE o_orderstatus = 'P') AS parts, count(*) = count(*) FILTER (WHERE o_orderstatus IN ('O', 'F', 'P')) AS holds FROM orders GROUP BY o_orderdate")
+@R.add("ref_b55_total_is_sum_of_parts", """SELECT o_orderdate, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') + count(*) FILTER (WHERE o_orderstatus = 'F') + count(*) FILTER (WHERE o_orderstatus = 'P') AS parts,
+        count(*) = count(*) FILTER (WHERE o_orderstatus IN ('O', 'F', 'P')) AS holds
+    FROM orders GROUP BY o_orderdate""")
 def total_is_sum_of_parts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders a day against the sum over their states."""
     parts = sum((F.count_if(F.col("o_orderstatus") == s) for s in "FP"), F.count_if(F.col("o_orderstatus") == "O"))
@@ -216,7 +223,12 @@ def total_is_sum_of_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_j22_b56_variance_rollup",
-    "WITH t AS (SELECT c_nationkey AS nk, year(o_orderdate) AS yr, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), a AS (SELECT nk, n FROM t WHERE yr = 1999), b AS (SELECT nk, n FROM t WHERE yr = 2000) SELECT coalesce(a.nk, b.nk) AS nk, coalesce(b.n, 0) - coalesce(a.n, 0) AS gap, CASE WHEN abs(coalesce(b.n, 0) - coalesce(a.n, 0)) > 10 AND abs(coalesce(b.n, 0) - coalesce(a.n, 0)) * 20 > coalesce(a.n, 0) THEN 'investigate' ELSE 'ok' END AS status FROM a FULL JOIN b ON a.nk = b.nk",
+    """WITH t AS (SELECT c_nationkey AS nk, year(o_orderdate) AS yr, count(*) AS n
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        GROUP BY ALL), a AS (SELECT nk, n FROM t WHERE yr = 1999), b AS (SELECT nk, n
+        FROM t WHERE yr = 2000) SELECT coalesce(a.nk, b.nk) AS nk, coalesce(b.n, 0) - coalesce(a.n, 0) AS gap, CASE WHEN abs(coalesce(b.n, 0) - coalesce(a.n,
+                0)) > 10 AND abs(coalesce(b.n, 0) - coalesce(a.n, 0)) * 20 > coalesce(a.n, 0) THEN 'investigate' ELSE 'ok' END AS status
+    FROM a FULL JOIN b ON a.nk = b.nk""",
 )
 def variance_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Orders of a nation in two years; a variance counts when both thresholds are passed."""
@@ -230,7 +242,9 @@ def variance_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_j17_overlap_pairs",
-    "WITH i AS (SELECT user_id, event_id, ts AS s, ts + INTERVAL 40 MINUTE AS e FROM events) SELECT a.user_id, a.event_id AS \"left\", b.event_id AS \"right\" FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e",
+    """WITH i AS (SELECT user_id, event_id, ts AS s, ts + INTERVAL 40 MINUTE AS e
+        FROM events) SELECT a.user_id, a.event_id AS \"left\", b.event_id AS \"right\"
+    FROM i a JOIN i b ON a.user_id = b.user_id AND a.event_id < b.event_id AND a.s < b.e AND b.s < a.e""",
 )
 def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Events of one user whose forty-minute intervals overlap."""
@@ -240,16 +254,24 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b33_tier_gaps_and_overlaps",
-    "WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding FROM l WHERE nxt <> hi",
+    """WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt
+        FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding
+    FROM l WHERE nxt <> hi""",
 )
 def tier_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps and overlaps between neighbouring tiers of a plan."""
-    return spark.sql("WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding FROM l WHERE nxt <> hi")
+    return spark.sql("""WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt
+        FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding
+    FROM l WHERE nxt <> hi""")
 
 
 @R.add(
     "ref_b20_aging_buckets",
-    f"WITH b(bucket, lo, hi) AS (VALUES ('current', -99999, 0), ('1-30', 1, 30), ('31-60', 31, 60), ('61-90', 61, 90), ('91-plus', 91, 99999)), d AS (SELECT date_diff('day', CAST(l_shipdate AS DATE), DATE '2001-06-30') AS days, {cents('l_extendedprice')} AS cents FROM lineitem) SELECT bucket, count(days) AS n, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cents FROM b LEFT JOIN d ON days BETWEEN lo AND hi GROUP BY bucket",
+    f"""WITH b(bucket, lo, hi) AS (VALUES ('current', -99999, 0), ('1-30', 1, 30), ('31-60', 31, 60), ('61-90', 61, 90), ('91-plus', 91, 99999)), d AS (SELECT date_diff('day',
+                CAST(l_shipdate AS DATE), DATE '2001-06-30') AS days, {cents('l_extendedprice')} AS cents
+        FROM lineitem) SELECT bucket, count(days) AS n, CAST(coalesce(sum(cents), 0) AS BIGINT) AS cents
+    FROM b LEFT JOIN d ON days BETWEEN lo AND hi
+    GROUP BY bucket""",
 )
 def aging_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Lines by days since shipping at a fixed day, empty buckets present; summed before the scaffold is met."""
@@ -281,7 +303,10 @@ def mrr_movement(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b81_cohort_retention",
-    f"WITH x AS (SELECT o_custkey, CAST(year(m) * 12 + month(m) AS BIGINT) AS mi, amount FROM ({_MRR})), f AS (SELECT o_custkey, min(mi) AS cohort FROM x GROUP BY 1) SELECT cohort, mi - cohort AS age, count(DISTINCT o_custkey) AS keys, CAST(sum(amount) AS BIGINT) AS amount FROM x JOIN f USING (o_custkey) GROUP BY ALL",
+    f"""WITH x AS (SELECT o_custkey, CAST(year(m) * 12 + month(m) AS BIGINT) AS mi, amount
+        FROM ({_MRR})), f AS (SELECT o_custkey, min(mi) AS cohort
+        FROM x GROUP BY 1) SELECT cohort, mi - cohort AS age, count(DISTINCT o_custkey) AS keys, CAST(sum(amount) AS BIGINT) AS amount
+    FROM x JOIN f USING (o_custkey) GROUP BY ALL""",
 )
 def cohort_retention(spark: SparkSession, sf: str) -> DataFrame:
     """Customers and revenue by month of the first order and months since."""
@@ -291,7 +316,11 @@ def cohort_retention(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b84_loss_ratio_grid",
-    f"WITH c AS (SELECT c_mktsegment AS seg, year(o_orderdate) AS yr, o_orderkey, {cents('o_totalprice')} AS premium FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT l_orderkey, CAST(sum({cents('l_extendedprice')}) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS loss FROM lineitem GROUP BY 1) SELECT seg, CAST(yr AS BIGINT) AS yr, {r2('100 * CAST(sum(coalesce(loss, 0)) AS DOUBLE) / CAST(sum(premium) AS DOUBLE)')} AS ratio_pct FROM c LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY seg, yr",
+    f"""WITH c AS (SELECT c_mktsegment AS seg, year(o_orderdate) AS yr, o_orderkey, {cents('o_totalprice')} AS premium
+        FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT l_orderkey, CAST(sum({cents('l_extendedprice')}) FILTER (WHERE l_returnflag = 'R') AS BIGINT) AS loss
+        FROM lineitem GROUP BY 1) SELECT seg, CAST(yr AS BIGINT) AS yr, {r2('100 * CAST(sum(coalesce(loss, 0)) AS DOUBLE) / CAST(sum(premium) AS DOUBLE)')} AS ratio_pct
+    FROM c LEFT JOIN l ON o_orderkey = l_orderkey
+    GROUP BY seg, yr""",
 )
 def loss_ratio_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Returned value over order value by segment and year; each order's value counts once, not once a line."""
@@ -306,7 +335,11 @@ _TRI = f"SELECT year(o_orderdate) AS origin, year(l_shipdate) - year(o_orderdate
 
 @R.add(
     "ref_a37_chain_ladder",
-    f"WITH t AS ({_TRI}), c AS (SELECT origin, age, sum(paid) OVER (PARTITION BY origin ORDER BY age) AS paid FROM t), f AS (SELECT a.age, CAST(sum(b.paid) AS DOUBLE) / CAST(sum(a.paid) AS DOUBLE) AS factor FROM c a JOIN c b ON a.origin = b.origin AND b.age = a.age + 1 GROUP BY a.age) SELECT CAST(age AS BIGINT) AS age, {r2('factor', 6)} AS factor, {r2('product(factor) OVER (ORDER BY age DESC)', 6)} AS to_ultimate FROM f",
+    f"""WITH t AS ({_TRI}), c AS (SELECT origin, age, sum(paid) OVER (PARTITION BY origin
+            ORDER BY age) AS paid FROM t), f AS (SELECT a.age, CAST(sum(b.paid) AS DOUBLE) / CAST(sum(a.paid) AS DOUBLE) AS factor
+        FROM c a JOIN c b ON a.origin = b.origin AND b.age = a.age + 1
+        GROUP BY a.age) SELECT CAST(age AS BIGINT) AS age, {r2('factor', 6)} AS factor, {r2('product(factor) OVER (ORDER BY age DESC)', 6)} AS to_ultimate
+    FROM f""",
 )
 def chain_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Development factors of shipped value by order year and years since, and their products to the end."""
@@ -322,7 +355,11 @@ def cumulative_triangle(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b86_model_scorecard",
-    f"WITH x AS (SELECT o_orderstatus = 'F' AS truth, o_totalprice > 250000 AS guess FROM orders), c AS (SELECT count(*) FILTER (WHERE truth AND guess) AS tp, count(*) FILTER (WHERE NOT truth AND guess) AS fp, count(*) FILTER (WHERE truth AND NOT guess) AS fn, count(*) FILTER (WHERE NOT truth AND NOT guess) AS tn FROM x) SELECT tp, fp, fn, tn, {r2('tp / nullif(tp + fp, 0)', 6)} AS \"precision\", {r2('tp / nullif(tp + fn, 0)', 6)} AS recall, {r2('2 * tp / nullif(2 * tp + fp + fn, 0)', 6)} AS f1 FROM c",
+    f"""WITH x AS (SELECT o_orderstatus = 'F' AS truth, o_totalprice > 250000 AS guess
+        FROM orders), c AS (SELECT count(*) FILTER (WHERE truth AND guess) AS tp, count(*) FILTER (WHERE NOT truth AND guess) AS fp, count(*) FILTER (WHERE truth AND NOT guess) AS fn,
+            count(*) FILTER (WHERE NOT truth AND NOT guess) AS tn
+        FROM x) SELECT tp, fp, fn, tn, {r2('tp / nullif(tp + fp, 0)', 6)} AS \"precision\", {r2('tp / nullif(tp + fn, 0)', 6)} AS recall, {r2('2 * tp / nullif(2 * tp + fp + fn, 0)', 6)} AS f1
+    FROM c""",
 )
 def model_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """A rule scored against a truth."""
@@ -330,7 +367,10 @@ def model_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return c.selectExpr("tp", "fp", "fn", "tn", *[f"{r2(f'`{x}`', 6)} AS `{x}`" for x in ("precision", "recall", "f1")])
 
 
-@R.add("ref_a26_w1_latest_per_key", "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
+@R.add("ref_a26_w1_latest_per_key", """SELECT o_custkey, o_orderkey, o_orderstatus
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey
+            ORDER BY o_orderdate DESC NULLS LAST, o_orderkey DESC) AS rn
+        FROM orders) WHERE rn = 1""")
 def latest_per_key(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer's latest order by a partial maximum: no window, no sort of the group."""
     last = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus")).alias("x"))
@@ -342,7 +382,10 @@ _LOADS = "SELECT DISTINCT CAST(p_size AS DOUBLE) AS load FROM part"
 
 @R.add(
     "ref_b43_erlang_agents",
-    f"WITH RECURSIVE l AS ({_LOADS}), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b FROM l UNION ALL SELECT load, n + 1, load * b / (n + 1 + load * b) FROM e WHERE b > 0.02) SELECT load, CAST(max(n) AS BIGINT) AS agents FROM e GROUP BY load",
+    f"""WITH RECURSIVE l AS ({_LOADS}), e AS (SELECT load, 0 AS n, CAST(1 AS DOUBLE) AS b
+        FROM l UNION ALL SELECT load, n + 1, load * b / (n + 1 + load * b)
+        FROM e WHERE b > 0.02) SELECT load, CAST(max(n) AS BIGINT) AS agents
+    FROM e GROUP BY load""",
 )
 def erlang_agents(spark: SparkSession, sf: str) -> DataFrame:
     """The fewest agents that block at most 2 % of a load (Erlang B)."""
@@ -408,13 +451,18 @@ _ASSIGNED = (
 sql_query(
     R,
     "ref_b59_shift_coverage",
-    f"WITH {_ASSIGNED}, c AS (SELECT l_orderkey, count(*) AS n FROM j WHERE outcome = 'counted' GROUP BY l_orderkey) SELECT o_orderkey AS shift, coalesce(n, 0) AS cleared, CASE WHEN o_orderdate IS NULL THEN 'invalid' WHEN coalesce(n, 0) < 2 THEN 'understaffed' WHEN n > 4 THEN 'overstaffed' ELSE 'ok' END AS status FROM {{orders}} LEFT JOIN c ON o_orderkey = l_orderkey",
+    f"""WITH {_ASSIGNED}, c AS (SELECT l_orderkey, count(*) AS n
+        FROM j WHERE outcome = 'counted' GROUP BY l_orderkey) SELECT o_orderkey AS shift, coalesce(n, 0) AS cleared, CASE WHEN o_orderdate IS NULL THEN 'invalid' WHEN coalesce(n,
+            0) < 2 THEN 'understaffed' WHEN n > 4 THEN 'overstaffed' ELSE 'ok' END AS status
+    FROM {{orders}} LEFT JOIN c ON o_orderkey = l_orderkey""",
 )
 sql_query(R, "ref_b59_rejected_assignments", f"WITH {_ASSIGNED} SELECT l_orderkey AS shift, l_linenumber, l_suppkey, outcome AS reason FROM j WHERE outcome <> 'counted'")
 sql_query(
     R,
     "ref_b59_double_booking",
-    f"WITH {_ASSIGNED}, c AS (SELECT l_suppkey, l_orderkey AS shift, CAST(o_orderdate AS DATE) AS day, l_orderkey % 3 * 4 + 8 AS h FROM j WHERE outcome = 'counted' AND o_orderdate IS NOT NULL) SELECT a.l_suppkey, a.day, a.shift AS shift_a, b.shift AS shift_b FROM c a JOIN c b ON a.l_suppkey = b.l_suppkey AND a.day = b.day AND a.shift < b.shift AND a.h < b.h + 6 AND b.h < a.h + 6",
+    f"""WITH {_ASSIGNED}, c AS (SELECT l_suppkey, l_orderkey AS shift, CAST(o_orderdate AS DATE) AS day, l_orderkey % 3 * 4 + 8 AS h
+        FROM j WHERE outcome = 'counted' AND o_orderdate IS NOT NULL) SELECT a.l_suppkey, a.day, a.shift AS shift_a, b.shift AS shift_b
+    FROM c a JOIN c b ON a.l_suppkey = b.l_suppkey AND a.day = b.day AND a.shift < b.shift AND a.h < b.h + 6 AND b.h < a.h + 6""",
 )
 
 # An event is an entry of event_id % 36 + 5 minutes, of 500 for each 97th.
@@ -442,7 +490,9 @@ def hours_anomalies(spark: SparkSession, sf: str) -> DataFrame:
 sql_query(
     R,
     "ref_b60_milestones",
-    f"WITH e AS ({_ENTRIES.replace('FROM events', 'FROM {events}')}), t AS (SELECT user_id, count(*) AS entries, CAST(sum(minutes) AS BIGINT) AS minutes FROM e GROUP BY user_id) SELECT user_id, entries, minutes, CASE WHEN minutes >= 6000 THEN 100 WHEN minutes >= 3000 THEN 50 WHEN minutes >= 1500 THEN 25 WHEN minutes >= 600 THEN 10 END AS milestone FROM t",
+    f"""WITH e AS ({_ENTRIES.replace('FROM events', 'FROM {events}')}), t AS (SELECT user_id, count(*) AS entries, CAST(sum(minutes) AS BIGINT) AS minutes
+        FROM e GROUP BY user_id) SELECT user_id, entries, minutes, CASE WHEN minutes >= 6000 THEN 100 WHEN minutes >= 3000 THEN 50 WHEN minutes >= 1500 THEN 25 WHEN minutes >= 600 THEN 10 END AS milestone
+    FROM t""",
 )
 
 
@@ -460,7 +510,9 @@ def display_name(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b82_retention_rates",
-    f"SELECT m, {r2('churned / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS churn_rate, {r2('(opening - contraction - churned) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS grr, {r2('(opening - contraction - churned + expansion) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS nrr FROM ({R.sql['ref_b80_mrr_movement']})",
+    f"""SELECT m, {r2('churned / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS churn_rate, {r2('(opening - contraction - churned) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS grr,
+        {r2('(opening - contraction - churned + expansion) / CAST(nullif(opening, 0) AS DOUBLE)', 6)} AS nrr
+    FROM ({R.sql['ref_b80_mrr_movement']})""",
 )
 def retention_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Churn rate, gross and net revenue retention of each month; null in a month that opens at zero."""
@@ -493,7 +545,10 @@ def term_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b90_b91_entity_merge",
-    f"WITH c AS ({_CONTACTS}), k AS (SELECT *, coalesce(CASE WHEN trim(email) <> '' THEN '0:' || trim(email) END, CASE WHEN trim(phone) <> '' THEN '1:' || trim(phone) END, '2:' || trim(name)) AS key FROM c) SELECT key, count(*) AS copies, arg_min(segment, seq) FILTER (WHERE segment IS NOT NULL) AS segment, arg_min(name, seq) AS name, coalesce(min(segment) <> max(segment), false) AS segment_conflict, coalesce(min(name) <> max(name), false) AS name_conflict FROM k GROUP BY key",
+    f"""WITH c AS ({_CONTACTS}), k AS (SELECT *, coalesce(CASE WHEN trim(email) <> '' THEN '0:' || trim(email) END, CASE WHEN trim(phone) <> '' THEN '1:' || trim(phone) END,
+                '2:' || trim(name)) AS key FROM c) SELECT key, count(*) AS copies, arg_min(segment, seq) FILTER (WHERE segment IS NOT NULL) AS segment, arg_min(name,
+            seq) AS name, coalesce(min(segment) <> max(segment), false) AS segment_conflict, coalesce(min(name) <> max(name), false) AS name_conflict
+    FROM k GROUP BY key""",
 )
 def entity_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Contacts merged by email, else phone, else name; the first value of each field, and conflicts."""
@@ -519,7 +574,10 @@ def graph_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b93_graph_distances",
-    f"WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT src AS id, dst AS other FROM e UNION SELECT dst, src FROM e), w(id, distance) AS (SELECT 's0', 0 UNION SELECT u.other, distance + 1 FROM w JOIN u ON u.id = w.id WHERE distance < 8) SELECT id, CAST(min(distance) AS INTEGER) AS distance FROM w GROUP BY id",
+    f"""WITH RECURSIVE e AS ({_EDGES}), u AS (SELECT src AS id, dst AS other
+        FROM e UNION SELECT dst, src FROM e), w(id, distance) AS (SELECT 's0', 0 UNION SELECT u.other, distance + 1
+        FROM w JOIN u ON u.id = w.id WHERE distance < 8) SELECT id, CAST(min(distance) AS INTEGER) AS distance
+    FROM w GROUP BY id""",
 )
 def graph_bfs(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of every node from the first supplier."""
@@ -596,7 +654,11 @@ def geojson_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_x4_ring_centroid",
-    f"WITH v AS (SELECT zone_id, ring, unnest(range(1, len(ring))) AS i FROM zones), e AS (SELECT zone_id, ring[1].lon AS x0, ring[1].lat AS y0, ring[i].lon - ring[1].lon AS ax, ring[i].lat - ring[1].lat AS ay, ring[i+1].lon - ring[1].lon AS bx, ring[i+1].lat - ring[1].lat AS by2 FROM v) SELECT zone_id, {r2('min(x0) + sum((ax + bx) * (ax * by2 - bx * ay)) / (3 * sum(ax * by2 - bx * ay))', 5)} AS lon, {r2('min(y0) + sum((ay + by2) * (ax * by2 - bx * ay)) / (3 * sum(ax * by2 - bx * ay))', 5)} AS lat FROM e GROUP BY zone_id",
+    f"""WITH v AS (SELECT zone_id, ring, unnest(range(1, len(ring))) AS i
+        FROM zones), e AS (SELECT zone_id, ring[1].lon AS x0, ring[1].lat AS y0, ring[i].lon - ring[1].lon AS ax, ring[i].lat - ring[1].lat AS ay, ring[i+1].lon - ring[1].lon AS bx,
+            ring[i+1].lat - ring[1].lat AS by2 FROM v) SELECT zone_id, {r2('min(x0) + sum((ax + bx) * (ax * by2 - bx * ay)) / (3 * sum(ax * by2 - bx * ay))', 5)} AS lon,
+        {r2('min(y0) + sum((ay + by2) * (ax * by2 - bx * ay)) / (3 * sum(ax * by2 - bx * ay))', 5)} AS lat
+    FROM e GROUP BY zone_id""",
 )
 def ring_centroid(spark: SparkSession, sf: str) -> DataFrame:
     """Centroids of the zones."""

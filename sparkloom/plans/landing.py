@@ -208,14 +208,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     chargers = written(usable_points(table(spark, sf, "ev_raw", "objectid", "lat", "lon"), F.col("objectid"), F.col("lat"), F.col("lon")))
     zones = region_index(table(spark, sf, "zones", "zone_id", "ring"))
     pairs = {
-        "stop_collision": pairs_within(stops, collisions, 60),
-        "stop_ev": pairs_within(chargers, stops, 250).select(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key")),
-        "stop_stop": pairs_within(stops, None, 30),
-        "zone_collision": points_in_regions(collisions, zones),
-        "zone_stop": points_in_regions(stops, zones),
-        "zone_ev": points_in_regions(chargers, zones),
+        "stop_collision": pairs_within(stops, collisions, 60, once=False),
+        "stop_ev": pairs_within(chargers, stops, 250, once=False).select(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key")),
+        "stop_stop": pairs_within(stops, None, 30, once=False),
+        "zone_collision": points_in_regions(collisions, zones, once=False),
+        "zone_stop": points_in_regions(stops, zones, once=False),
+        "zone_ev": points_in_regions(chargers, zones, once=False),
     }
-    return _union([p.select(F.lit(k).alias("kind"), "left_key", "right_key") for k, p in pairs.items()])
+    return _union([p.select(F.lit(k).alias("kind"), "left_key", "right_key") for k, p in pairs.items()]).distinct()
 
 
 @R.add("p6_found")

@@ -34,7 +34,8 @@ _TIERS = "SELECT DISTINCT p_brand AS brand, p_size AS least, p_size % 7 AS pct F
 )
 def tier_asof(spark: SparkSession, sf: str) -> DataFrame:
     """Each line with the highest tier of its brand whose minimum quantity it reaches, from a table of tiers; null below all."""
-    lines = _sql(spark, sf, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, p_brand AS brand FROM {lineitem} JOIN {part} ON p_partkey = l_partkey", "lineitem", "part")
+    lines = _sql(spark, sf, """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS qty, p_brand AS brand
+    FROM {lineitem} JOIN {part} ON p_partkey = l_partkey""", "lineitem", "part")
     tiers = _sql(spark, sf, _TIERS.replace("FROM part", "FROM {part}"), "part")
     return reconcile.asof_tier(lines, tiers, ["brand"], "qty", "least", "pct").drop("brand")
 
@@ -77,7 +78,9 @@ _DAILY = f"SELECT CAST(ts AS DATE) AS day, CAST(sum(CASE event_type WHEN 'purcha
 
 @R.add(
     "ref_b13_opening_closing",
-    f"WITH d AS ({_DAILY.replace('{events}', 'events')}), c AS (SELECT day, net, 100000 + CAST(sum(net) OVER (ORDER BY day) AS BIGINT) AS closing FROM d) SELECT day, coalesce(lag(closing) OVER (ORDER BY day), 100000) AS opening, net, closing FROM c",
+    f"""WITH d AS ({_DAILY.replace('{events}', 'events')}), c AS (SELECT day, net, 100000 + CAST(sum(net) OVER (ORDER BY day) AS BIGINT) AS closing
+        FROM d) SELECT day, coalesce(lag(closing) OVER (ORDER BY day), 100000) AS opening, net, closing
+    FROM c""",
 )
 def opening_closing(spark: SparkSession, sf: str) -> DataFrame:
     """Daily positions: each day opens with the closing of the day before."""
@@ -117,7 +120,8 @@ _RATES = "VALUES ('1-URGENT', 10000), ('2-HIGH', 13600), ('3-MEDIUM', 14800), ('
 )
 def convert_and_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """Lines converted at the rate of their currency; unknown currencies are skipped, of repeated lines the first with a rate counts."""
-    lines = _sql(spark, sf, f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority AS currency, {cents('l_extendedprice')} AS c FROM {{lineitem}} LEFT JOIN {{orders}} ON o_orderkey = l_orderkey", "lineitem", "orders")
+    lines = _sql(spark, sf, f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, o_orderpriority AS currency, {cents('l_extendedprice')} AS c
+    FROM {{lineitem}} LEFT JOIN {{orders}} ON o_orderkey = l_orderkey""", "lineitem", "orders")
     rates = spark.sql(f"SELECT * FROM ({_RATES}) AS r(currency, rate)")
     met = lines.join(F.broadcast(rates), "currency", "left")
     first = met.where("rate IS NOT NULL").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "c")).alias("f"), F.count(F.lit(1)).alias("copies"), F.sum("c").alias("all_c"), F.min_by(F.expr("(c * rate + 5000) div 10000"), F.struct("l_partkey", "l_suppkey", "c")).alias("base"))
@@ -200,7 +204,8 @@ def ultimate_and_reserve(spark: SparkSession, sf: str) -> DataFrame:
 )
 def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
     """Five models scored by F1, cost and speed, the latter two scaled between the best and the worst on the card."""
-    x = _sql(spark, sf, "SELECT c_mktsegment AS model, o_orderstatus = 'F' AS truth, o_totalprice > 250000 AS guess, o_orderkey % 1000 AS cost, o_custkey % 500 AS ms FROM {orders} JOIN {customer} ON o_custkey = c_custkey", "orders", "customer")
+    x = _sql(spark, sf, """SELECT c_mktsegment AS model, o_orderstatus = 'F' AS truth, o_totalprice > 250000 AS guess, o_orderkey % 1000 AS cost, o_custkey % 500 AS ms
+    FROM {orders} JOIN {customer} ON o_custkey = c_custkey""", "orders", "customer")
     m = x.groupBy("model").agg(
         F.expr("2 * count_if(truth AND guess) / (2 * count_if(truth AND guess) + count_if(truth <> guess))").alias("f1"), F.expr("CAST(sum(cost) AS DOUBLE) / count_if(truth = guess)").alias("unit"), F.max("ms").cast("double").alias("slowest")
     )
@@ -214,7 +219,9 @@ def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
 )
 def large_tie_safe(spark: SparkSession, sf: str) -> DataFrame:
     """The ten largest by a key that no two share: the value, then the place in the list."""
-    n = _sql(spark, sf, "SELECT n_name, n_nationkey, count(*) FILTER (WHERE c_acctbal > 9000) AS rich FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey", "nation", "customer")
+    n = _sql(spark, sf, """SELECT n_name, n_nationkey, count(*) FILTER (WHERE c_acctbal > 9000) AS rich
+    FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey
+    GROUP BY n_name, n_nationkey""", "nation", "customer")
     top = n.orderBy((F.col("rich") * 1000 + (999 - F.col("n_nationkey"))).desc()).limit(10)
     return ranked(top, [], [(F.col("rich") * 1000 + (999 - F.col("n_nationkey"))).desc()], "k").select("k", "n_name", "rich")
 
@@ -252,7 +259,9 @@ def attribute_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_b96_node_context",
-    f"{_GRAPH}, n AS ({_NODES}) SELECT n.id, n.type, n.label, concat(u.rel, CASE u.direction WHEN 'out' THEN ' ->' ELSE ' <-' END) AS link, o.id AS other, o.type AS other_type, o.label AS other_label FROM n JOIN u ON u.id = n.id JOIN n o ON o.id = u.other",
+    f"""{_GRAPH}, n AS ({_NODES}) SELECT n.id, n.type, n.label, concat(u.rel, CASE u.direction WHEN 'out' THEN ' ->' ELSE ' <-' END) AS link, o.id AS other, o.type AS other_type,
+        o.label AS other_label FROM n JOIN u ON u.id = n.id
+    JOIN n o ON o.id = u.other""",
 )
 def node_context(spark: SparkSession, sf: str) -> DataFrame:
     """Every node's bundle: the node and its direct neighbours by relation and direction, a row each (a hub's list is never gathered)."""
@@ -286,7 +295,11 @@ def graph_from_nested_json(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     "ref_s19_graph_store",
-    f"WITH n AS ({_NODES}), e AS ({_EDGES}) SELECT 'node' AS part, type AS kind, count(*) AS n FROM n GROUP BY type UNION ALL SELECT 'edge', rel, count(*) FROM e GROUP BY rel UNION ALL SELECT 'dangling', rel, count(*) FROM e LEFT JOIN n ON n.id = e.dst WHERE n.id IS NULL GROUP BY rel",
+    f"""WITH n AS ({_NODES}), e AS ({_EDGES}) SELECT 'node' AS part, type AS kind, count(*) AS n
+    FROM n GROUP BY type UNION ALL SELECT 'edge', rel, count(*)
+    FROM e GROUP BY rel UNION ALL SELECT 'dangling', rel, count(*)
+    FROM e LEFT JOIN n ON n.id = e.dst WHERE n.id IS NULL
+    GROUP BY rel""",
 )
 def graph_store(spark: SparkSession, sf: str) -> DataFrame:
     """A graph as two tables, written and loaded back: nodes by type, edges by relation, and edges that lead nowhere."""
