@@ -218,7 +218,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return _union([p.select(F.lit(k).alias("kind"), "left_key", "right_key") for k, p in pairs.items()]).distinct()
 
 
-@R.add("p6_found")
+_P6_SQL = r"""
+WITH l AS (SELECT row_id, regexp_extract_all(routes, '"(?:[^"]|"")*"|[\p{L}\p{N}]+(?:/\p{L}\b)*') AS l FROM parkride_raw WHERE routes IS NOT NULL),
+v AS (SELECT row_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM l),
+r AS (SELECT row_id, i, starts_with(v, '"') AS quoted, CASE WHEN starts_with(v, '"') THEN replace(v[2:-2], '""', '"') ELSE v END AS route FROM v)
+SELECT row_id, CAST(row_number() OVER (PARTITION BY row_id ORDER BY i) AS INTEGER) AS pos, route FROM r WHERE route <> '' AND (quoted OR lower(route) NOT IN ('and', 'et'))
+"""
+
+
+@R.add("p6_found", _P6_SQL)
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Every route of a park-and-ride lot, one per row with its place."""
     return explode_packed(table(spark, sf, "parkride_raw", "row_id", "routes"), "routes", "route")

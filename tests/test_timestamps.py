@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+import re
+from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sparkloom.operators import timestamps as T
+from sparkloom.plans import landing
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 HALIFAX = ZoneInfo("America/Halifax")
@@ -103,3 +105,49 @@ def test_table_with_clashing_and_extra_columns(spark):
     clash = T.with_utc_micros(df, "text", "other")
     assert clash.columns == ["row_id", "text", "other"] and {r.other for r in clash.collect()} == {us(2020, 1, 1, 4)}
     assert T.with_utc_micros(df.limit(0), "text").count() == 0
+
+
+WORDS = {**{m: i for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}, **{m: i for i, m in enumerate("janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(), 1)}}
+ZONES = {"ADT": -3, "AST": -4, "EDT": -4, "EST": -5, "GMT": 0, "UTC": 0, "Z": 0, "NDT": -2.5, "NST": -3.5}
+DAY = (
+    r"(?P<Y>\d{4})[-/](?P<m>\d{1,2})[-/](?P<D>\d{1,2})|(?P<m2>\d{1,2})/(?P<D2>\d{1,2})/(?P<Y2>\d{4}|\d\d)|(?P<D3>\d{1,2})\.(?P<m3>\d{1,2})\.(?P<Y3>\d{4}|\d\d)|(?P<Y4>\d{4})(?P<m4>\d\d)(?P<D4>\d\d)"
+    r"|(?P<D5>\d{1,2})(?:er)?[ -](?P<B5>[^\W\d]+)[ -](?P<Y5>\d{4}|\d\d)|(?P<B6>[^\W\d]+) (?P<D6>\d{1,2}), (?P<Y6>\d{4})"
+)
+TIME = r"(?:[T ]|, )(?:(?P<H>\d{1,2})(?::| h )(?P<M>\d\d)(?::(?P<S>\d\d)(?:\.(?P<f>\d+))?)?|(?P<H2>\d\d)(?P<M2>\d\d)(?P<S2>\d\d))(?: ?(?P<p>[AaPp]\.?[Mm]\.?))?(?: ?(?P<z>[A-Z]+|[+-]\d\d:?\d\d))?"
+WHOLE = re.compile(rf"(?:(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), )?(?:{DAY})(?:{TIME})?")
+
+
+def one_by_one(text):
+    """The moment of one text by datetime and zoneinfo; None if it isn't real."""
+    text = (text or "").strip()
+    if re.fullmatch(r"\d{10}|\d{13}", text):
+        return int(text) * (10**6 if len(text) == 10 else 1000)
+    m = WHOLE.fullmatch(text)
+    if not m:
+        return None
+    g = {re.sub(r"\d$", "", k): v for k, v in m.groupdict().items() if v is not None}
+    month = int(g["m"]) if "m" in g else next((i for w, i in WORDS.items() if g["B"].lower() == w or (len(w) == 3 and len(g["B"]) > 2 and date(2000, i, 1).strftime("%B").lower() == g["B"].lower())), 0)
+    hour = int(g.get("H", 0))
+    if "p" in g:
+        if not 1 <= hour <= 12:
+            return None
+        hour = hour % 12 + 12 * (g["p"][0] in "Pp")
+    try:
+        at = datetime(int(g["Y"]) + 2000 * (len(g["Y"]) == 2), month, int(g["D"]), hour, int(g.get("M", 0)), int(g.get("S", 0)), int((g.get("f", "0") + "000000")[:6]))
+    except ValueError:
+        return None
+    z = g.get("z")
+    if z is None:
+        return (at.replace(tzinfo=HALIFAX).astimezone(timezone.utc) - EPOCH) // timedelta(microseconds=1)
+    if z[0] in "+-":
+        shift = timedelta(hours=int(z[1:3]), minutes=int(z[-2:])) * (-1 if z[0] == "-" else 1)
+    elif z in ZONES:
+        shift = timedelta(hours=ZONES[z])
+    else:
+        return None
+    return (at.replace(tzinfo=timezone.utc) - shift - EPOCH) // timedelta(microseconds=1)
+
+
+def test_p1_like_one_by_one(spark, sf):
+    want = {(t, r.row_id, us_) for t, c in landing.DATE_FIELDS for r in spark.read.parquet(f"{sf}/{t}.parquet").select("row_id", c).collect() if (us_ := one_by_one(r[c])) is not None}
+    assert len(want) > 1000 and {tuple(r) for r in landing.p1_found(spark, sf).collect()} == want
