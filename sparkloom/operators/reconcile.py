@@ -88,3 +88,9 @@ def all_errors(found: dict[str, DataFrame]) -> DataFrame:
     """(code, key) of every error found, each once; `found` has a frame with `key` by code."""
     parts = [df.select(F.lit(code).alias("code"), F.col("key").cast("string").alias("key")) for code, df in found.items()]
     return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def asserted(df: DataFrame, holds: Column, message: str) -> DataFrame:
+    """df unchanged, if the condition holds for every row that is read; else the action fails with the message. Null counts as not holding."""
+    first = df.columns[0]
+    return df.withColumn(first, F.when(F.coalesce(holds, F.lit(False)), F.col(first)).otherwise(F.raise_error(message).cast(df.schema[first].dataType)))

@@ -252,19 +252,6 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.overlapping_pairs(e, ["user_id"], "event_id", "s", "e")
 
 
-@R.add(
-    "ref_b33_tier_gaps_and_overlaps",
-    """WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt
-        FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding
-    FROM l WHERE nxt <> hi""",
-)
-def tier_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaps and overlaps between neighbouring tiers of a plan."""
-    return spark.sql("""WITH t(id, lo, hi) AS (VALUES (1, 0, 10), (2, 10, 20), (3, 25, 40), (4, 35, 60), (5, 60, NULL)), l AS (SELECT *, lead(lo) OVER (ORDER BY lo, id) AS nxt
-        FROM t) SELECT id, CASE WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding
-    FROM l WHERE nxt <> hi""")
-
-
 @R.add(
     "ref_b20_aging_buckets",
     f"""WITH b(bucket, lo, hi) AS (VALUES ('current', -99999, 0), ('1-30', 1, 30), ('31-60', 31, 60), ('61-90', 61, 90), ('91-plus', 91, 99999)), d AS (SELECT date_diff('day',

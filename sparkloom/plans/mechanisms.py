@@ -366,6 +366,49 @@ def measure_layer(spark: SparkSession, sf: str) -> DataFrame:
     return MEASURES.evaluate(table(spark, sf, "orders").where("o_orderdate >= TIMESTAMP '1998-01-01'"), ["orders", "revenue", "filled_pct", "share_pct"], ["o_orderpriority"])
 
 
+# Timelines, tiers and margins in SQL; the twins say the same another way ------------------------------------------
+_WEEKLY = f"SELECT CAST(floor(({{days}}) / 7) AS BIGINT) AS wk, o_orderstatus AS st, {cents('o_totalprice')} AS c FROM orders"
+sql_query(
+    R,
+    "ref_b15_earned_value",  # every week from the first to the last; ratios of what has been earned and spent so far
+    f"""WITH o AS ({_WEEKLY.format(days="datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01')").replace("FROM orders", "FROM {orders}")}),
+    g AS (SELECT explode(sequence(min(wk), max(wk))) AS wk FROM o), w AS (SELECT wk, sum(CASE WHEN st = 'F' THEN c ELSE 0 END) AS e, sum(CASE WHEN st <> 'O' THEN c ELSE 0 END) AS s FROM o GROUP BY wk), t AS (SELECT sum(c) AS budget FROM o),
+    r AS (SELECT g.wk, CAST(sum(coalesce(e, 0)) OVER x AS BIGINT) AS earned, CAST(sum(coalesce(s, 0)) OVER x AS BIGINT) AS spent FROM g LEFT JOIN w ON w.wk = g.wk WINDOW x AS (ORDER BY g.wk))
+    SELECT wk, earned, spent, {r2("CAST(earned AS DOUBLE) / nullif(spent, 0)", 6)} AS cpi, {r2("CAST(budget AS DOUBLE) * spent / nullif(earned, 0) / 10000", 0)} AS eac, {r2("(CAST(budget AS DOUBLE) - CAST(budget AS DOUBLE) * spent / nullif(earned, 0)) / 10000", 0)} AS vac, CAST(earned / 10 AS BIGINT) AS held FROM r CROSS JOIN t""".replace("CAST(earned / 10 AS BIGINT)", "CAST(floor(earned / 10) AS BIGINT)"),
+    f"""WITH o AS ({_WEEKLY.format(days="date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE))")}), g AS (SELECT unnest(range((SELECT min(wk) FROM o), (SELECT max(wk) FROM o) + 1)) AS wk),
+    d AS (SELECT wk, st, sum(c) AS c FROM o GROUP BY ALL), r AS (SELECT g.wk, CAST(coalesce((SELECT sum(c) FROM d WHERE d.wk <= g.wk AND st = 'F'), 0) AS BIGINT) AS earned, CAST(coalesce((SELECT sum(c) FROM d WHERE d.wk <= g.wk AND st IN ('F', 'P')), 0) AS BIGINT) AS spent, (SELECT sum(c) FROM o) AS budget FROM g)
+    SELECT wk, earned, spent, {r2("CAST(earned AS DOUBLE) / nullif(spent, 0)", 6)} AS cpi, {r2("CAST(budget AS DOUBLE) * spent / nullif(earned, 0) / 10000", 0)} AS eac, {r2("(CAST(budget AS DOUBLE) - CAST(budget AS DOUBLE) * spent / nullif(earned, 0)) / 10000", 0)} AS vac, earned // 10 AS held FROM r""",
+)
+_PLAN = "SELECT DISTINCT p_brand AS plan, p_size AS lo, p_size + p_partkey % 4 * 2 AS hi FROM part WHERE p_partkey % 3 = 0"
+sql_query(
+    R,
+    "ref_b33_tier_findings",  # tiers of each plan against the next one by start
+    f"""WITH t AS ({_PLAN.replace("FROM part", "FROM {part}")}), l AS (SELECT *, lead(lo) OVER (PARTITION BY plan ORDER BY lo, hi) AS nxt FROM t)
+    SELECT plan, lo, hi, CASE WHEN hi <= lo THEN 'order' WHEN nxt > hi THEN 'gap' WHEN nxt < hi THEN 'overlap' END AS finding FROM l WHERE hi <= lo OR nxt <> hi""",
+    f"""WITH t AS ({_PLAN}), l AS (SELECT *, (SELECT min(lo) FROM t u WHERE u.plan = t.plan AND (u.lo > t.lo OR u.lo = t.lo AND u.hi > t.hi)) AS nxt FROM t)
+    SELECT plan, lo, hi, 'order' AS finding FROM l WHERE hi <= lo UNION ALL SELECT plan, lo, hi, 'gap' FROM l WHERE hi > lo AND nxt > hi UNION ALL SELECT plan, lo, hi, 'overlap' FROM l WHERE hi > lo AND nxt < hi""",
+)
+sql_query(
+    R,
+    "ref_b34_tier_expansion",  # a price from cost and margin, laid out over the tiers
+    f"SELECT p_partkey, t.least_qty, {r2('p_retailprice / (1 - t.margin)')} AS price FROM {{part}} CROSS JOIN (VALUES (1, 0.4D), (10, 0.3D), (50, 0.2D)) AS t(least_qty, margin)",
+    f"SELECT p_partkey, least_qty, {r2('p_retailprice / (1 - CASE least_qty WHEN 1 THEN CAST(0.4 AS DOUBLE) WHEN 10 THEN CAST(0.3 AS DOUBLE) ELSE CAST(0.2 AS DOUBLE) END)')} AS price FROM (SELECT p_partkey, p_retailprice, unnest([1, 10, 50]) AS least_qty FROM part)",
+)
+
+
+@R.add(
+    "ref_b77_margin_by_line_and_channel",
+    f"""SELECT p_brand, c_mktsegment, CAST(sum({cents("l_extendedprice")} - {cents("p_retailprice")} * CAST(l_quantity AS BIGINT)) AS BIGINT) AS margin FROM lineitem, part, orders, customer
+    WHERE l_partkey = p_partkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey GROUP BY ROLLUP (p_brand, c_mktsegment)""",
+)
+def margin_by_line_and_channel(spark: SparkSession, sf: str) -> DataFrame:
+    """Margin by brand and segment, by brand, and in all; lines are summed by part and order's customer before the dimensions are met."""
+    by = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.expr(f"sum({cents('l_extendedprice')})").alias("v"), F.expr("sum(CAST(l_quantity AS BIGINT))").alias("q"))
+    met = by.join(table(spark, sf, "orders", "o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    met = met.join(table(spark, sf, "part", "p_partkey", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
+    return met.rollup("p_brand", "c_mktsegment").agg(F.expr(f"CAST(sum(v - {cents('p_retailprice')} * q) AS BIGINT)").alias("margin"))
+
+
 # Bands ---------------------------------------------------------------------------------------------------------
 def _bands(name: str, table_: str, key: str, value: str, steps: list[tuple[str, str]], last: str) -> None:
     """A searched CASE; the twin asks for the bands one by one and stacks them."""

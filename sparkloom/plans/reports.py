@@ -50,7 +50,7 @@ q("ref_b14_running_spend_without_copies", f"""SELECT l_orderkey, l_linenumber, C
             ORDER BY l_linenumber) AS BIGINT) AS spent
     FROM (SELECT l_orderkey, l_linenumber, min({cents('l_extendedprice')}) AS c
         FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber) t""")
-q("ref_b15_cumulative_ratio_bands", f"""SELECT wk, CASE WHEN {r2('earned / spent')} < 0.5 THEN 'over' WHEN {r2('earned / spent')} < 1.05 THEN 'near' ELSE 'under' END AS band, {r2('earned / spent')} AS ratio
+q("extra_cumulative_ratio_bands", f"""SELECT wk, CASE WHEN {r2('earned / spent')} < 0.5 THEN 'over' WHEN {r2('earned / spent')} < 1.05 THEN 'near' ELSE 'under' END AS band, {r2('earned / spent')} AS ratio
     FROM (SELECT wk, CAST(sum(e) OVER (ORDER BY wk) AS DOUBLE) AS earned, CAST(sum(s) OVER (ORDER BY wk) AS DOUBLE) AS spent
         FROM (SELECT CAST(floor((day(ts) - 1) / 7) AS BIGINT) AS wk, sum(CASE WHEN event_type = 'purchase' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS e,
                 sum(CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END) AS s
@@ -63,7 +63,6 @@ q("ref_b18_moving_average_projection", f"""SELECT s.k, {r2('m.last_n + s.k * m.m
     CROSS JOIN (VALUES (1), (2), (3), (4), (5), (6)) AS s(k)""")
 q("ref_b19_run_rate", f"SELECT event_type, {r2('sum(CAST(round(value * 100) AS BIGINT)) / 100 / 15 * 31')} AS forecast FROM {{events}} WHERE day(ts) <= 15 GROUP BY event_type")
 q("ref_b24_latest_flag", "SELECT o_orderkey, o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey) AS is_latest FROM {orders}")
-q("ref_b34_tier_expansion", f"SELECT p_partkey, t.least_qty, {r2('p_retailprice * (100 - t.pct) / 100')} AS price FROM {{part}} CROSS JOIN (VALUES (1, 0), (10, 5), (50, 12)) AS t(least_qty, pct)")
 q("ref_b36_sensitivity", f"""SELECT p_brand, s.step, {r2('sum(CAST(round(p_retailprice * 100) AS BIGINT)) / 100 * (100 + s.step) / 100')} AS cost
     FROM {{part}} CROSS JOIN (VALUES (-10), (0), (10)) AS s(step)
     GROUP BY p_brand, s.step""")

@@ -132,3 +132,10 @@ def test_shared_folder(spark, monkeypatch):
     cluster = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
     with pytest.raises(ValueError, match="all executors share"):
         session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=cluster, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_asserted(spark):
+    df = spark.createDataFrame([(1, "opening"), (2, "flow")], "id int, kind string")
+    assert reconcile.asserted(df, F.col("id") > 0, "no").count() == 2
+    with pytest.raises(Exception, match="several openings"):
+        reconcile.asserted(df, F.col("kind") != "opening", "several openings").collect()
