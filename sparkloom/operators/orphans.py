@@ -64,7 +64,7 @@ def bloom_filter(keys: DataFrame, key: str, expected: int, max_bits: int = MAX_F
     spots = keys.select(F.pmod(F.shiftrightunsigned(h, 56), F.lit(parts)).alias("part"), F.explode(F.array(*[(h + step * i).bitwiseAND(F.lit(size - 1)) for i in range(HASHES)])).alias("at"))
     spots = spots.select("part", F.floor(F.col("at") / _PAGE).alias("page"), F.pmod("at", F.lit(_PAGE)).alias("bit"))
     made = [np.zeros(size // 8, np.uint8) for _ in range(parts)]
-    for r in spots.groupBy("part", "page").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # at most max_parts x max_bits in all
+    for r in spots.groupBy("part", "page").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow().to_pylist():  # at most max_parts x max_bits in all
         made[r["part"]][r["page"] * (_PAGE // 8) : (r["page"] + 1) * (_PAGE // 8)] = np.frombuffer(r["bits"], np.uint8)
     return BloomFilter(made)
 

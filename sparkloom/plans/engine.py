@@ -263,6 +263,7 @@ def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def aging_buckets(spark: SparkSession, sf: str) -> DataFrame:
     """Lines by days since shipping at a fixed day, empty buckets present; summed before the scaffold is met."""
     days = F.datediff(F.lit("2001-06-30").cast("date"), F.to_date("l_shipdate"))
+    # The labels of the buckets.
     names = ["current", "1-30", "31-60", "61-90", "91-plus"]
     bucket = F.when(days <= 0, names[0]).when(days <= 30, names[1]).when(days <= 60, names[2]).when(days <= 90, names[3]).otherwise(names[4])
     found = table(spark, sf, "lineitem").where(days.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(cents("l_extendedprice"))).cast("bigint").alias("cents"))
