@@ -61,7 +61,8 @@ def bloom_filter(keys: DataFrame, key: str, expected: int, max_bits: int = MAX_F
     size = max(_PAGE, 1 << (size.bit_length() - 1))
     h = F.xxhash64(key)
     step = F.shiftrightunsigned(h, 17).bitwiseOR(F.lit(1))
-    spots = keys.select(F.pmod(F.shiftrightunsigned(h, 56), F.lit(parts)).alias("part"), F.explode(F.array(*[(h + step * i).bitwiseAND(F.lit(size - 1)) for i in range(HASHES)])).alias("at"))
+    low = h.bitwiseAND(F.lit(size - 1))  # a sum with h itself may pass 64 bits, which is an error in ANSI mode
+    spots = keys.select(F.pmod(F.shiftrightunsigned(h, 56), F.lit(parts)).alias("part"), F.explode(F.array(*[(low + step * i).bitwiseAND(F.lit(size - 1)) for i in range(HASHES)])).alias("at"))
     spots = spots.select("part", F.floor(F.col("at") / _PAGE).alias("page"), F.pmod("at", F.lit(_PAGE)).alias("bit"))
     made = [np.zeros(size // 8, np.uint8) for _ in range(parts)]
     for r in spots.groupBy("part", "page").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow().to_pylist():  # at most max_parts x max_bits in all

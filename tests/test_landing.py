@@ -49,6 +49,14 @@ def test_filter_proves_what_it_rejects(spark):
     assert not orphans.bloom_filter(keys.limit(0), "k", 0).might_contain(hashes).any()
 
 
+def test_filter_of_a_key_with_nearly_the_largest_hash(spark):
+    keys = spark.createDataFrame([("HS290291",)], "k string")  # one of some 100,000 keys has such a hash
+    h = keys.select(F.xxhash64("k")).first()[0]
+    assert h + 3 * (h >> 17) >= 1 << 63
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    assert orphans.bloom_filter(keys, "k", 1).might_contain(np.array([h])).all()
+
+
 def test_orphans_with_a_filter_that_is_too_small(spark, monkeypatch):
     monkeypatch.setattr(orphans.bloom_filter, "__defaults__", (1 << 15, 2))
     parents = spark.range(5000).select("id", F.concat(F.lit("K"), F.col("id") * 2).alias("k"), F.lit(AT).alias("at"), F.lit("INS").alias("status"))
