@@ -3,11 +3,11 @@
 1. Each text is read once into word codes by sentence, written to the shared folder; the same pass counts
    in how many documents each hashed word stands.
 2. Document vectors (signed feature hashing, weighted by rarity over the whole corpus, normalised)
-   are clustered by bisecting k-means. The centres are fitted on a bounded sample (`sampled` documents, by
-   hash of the key); every document is assigned to its nearest leaf.
+   are clustered by bisecting k-means over all documents, in passes over the vectors in which all clusters due
+   are split at once; every document is assigned to its nearest leaf.
 3. A leaf is labelled by a mixture of subjects: first that of the labelled documents in it, then, from round
-   to round, that of all its documents as their discriminative terms say. The hand labels are a bounded sample
-   (`max_labelled` documents, the smallest hashes of the key).
+   to round, that of all its documents as their discriminative terms say. All hand labels are used; they are
+   joined to their documents.
 4. Discriminative terms (words and word pairs, hashed to a fixed number of buckets) are learnt in
    rounds over all documents: at first a term's subjects are the mixtures of the leaves and
    labels of its documents, then those of the *other* sentences of its documents. So a phrase
@@ -19,8 +19,8 @@
    document's leaf as prior, or about none; a subject counts for a document if at least `share` of its
    sentences about any subject are about it.
 
-What reaches the driver is bounded by parameters: sums per term bucket, the sampled vectors, the labelled
-sample. Sums are of whole numbers, so they don't depend on how documents are spread over tasks; they are made
+What reaches the driver is bounded by parameters: sums per term bucket and per cluster, the vectors of a small
+corpus (at most `collected`). Sums are of whole numbers, so they don't depend on how documents are spread over tasks; they are made
 by at most two tasks a core, whatever the number of files. Runs of five or more of one of = _ * ~ # - are breaks; an
 unbroken run of 41 or more characters of the base64 alphabet with capitals, small letters and digits is encoded
 data and holds no words; everything else is read, at any length. Where a script writes no blanks (Han, Kana,
@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.operators.skew import bounded_broadcast
 from sparkloom.session import written
 
 # The blocks of the scripts that write no blanks.
@@ -57,6 +58,9 @@ _DATA = re.compile(r"(?<!\S)[A-Za-z0-9+/]{41,}={0,2}(?!\S)")
 _UNSEEN = [*map(chr, range(0x200B, 0x2010)), "\u2060", "\ufeff", "\u00ad"]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ONE = float(1 << 16)  # sums are kept in 65536ths
+_UNIT = 32767  # vectors that centres are fitted on are whole numbers of this part of one
+_PACKED = 64  # vectors to a row
+_TASKS = 256  # at most so many tasks give sums per cluster to the driver
 
 
 @dataclass(frozen=True)
@@ -67,7 +71,7 @@ class Settings:
     dims: int = 64
     leaves: int = 48
     iterations: int = 8
-    sampled: int = 20_000  # documents that the leaf centres are fitted on
+    collected: int = 20_000  # documents up to which their vectors are clustered on the driver
     # By round, the last for all further rounds and the final judgement: cautious while little is known.
     rounds: int = 7
     settled: float = 0.002  # share of what is learnt that may still change when the rounds end
@@ -78,7 +82,6 @@ class Settings:
     leaf_weight: float = 0.25  # of a leaf's mixture where a document has no label
     prior_weight: float = 0.5  # of a leaf's mixture as prior of its documents' sentences; 0 leaves it out
     share: float = 0.25
-    max_labelled: int = 50_000
     block: int = 1 << 17  # word codes handled at once
     seed: int = 7
 
@@ -215,17 +218,31 @@ def bucket_of(codes: np.ndarray, bits: int) -> np.ndarray:
     return ((codes.astype(np.int64).astype(np.uint64) * _A) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def label_votes(labels: DataFrame, key: str, subject: str, subjects: list[str]) -> DataFrame:
+    """(key, votes): of each labelled document its votes by subject; every annotator's label is a vote."""
+    known = labels.where(F.col(key).isNotNull() & F.col(subject).isin(subjects))
+    return known.groupBy(key).agg(F.array(*[F.count_if(F.col(subject) == x).cast("int") for x in subjects]).alias("votes"))
+
+
+def with_votes(docs: DataFrame, labels: DataFrame, key: str, subject: str, subjects: list[str]) -> DataFrame:
+    """The documents with the votes of their labels; null without any."""
+    if not subjects:
+        return docs.withColumn("votes", F.lit(None).cast("array<int>"))
+    votes = written(label_votes(labels, key, subject, subjects))
+    return docs.join(bounded_broadcast(votes, votes.count(), 4 * len(subjects) + 64), key, "left")
+
+
 def coded_documents(docs: DataFrame, key: str, text: str, s: Settings) -> tuple[DataFrame, np.ndarray, int]:
-    """(key, words, sizes) of each document, written to the shared folder; in how many documents each word bucket stands; how many documents."""
+    """(key, words, sizes, votes) of each document, written to the shared folder; in how many documents each word bucket stands; how many documents."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, words array<int>, sizes array<int>, slots array<int>, counts array<bigint>, docs bigint"
+    schema = f"{key} {kind}, words array<int>, sizes array<int>, votes array<int>, slots array<int>, counts array<bigint>, docs bigint"
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen, n, of_key = Coder(), np.zeros(s.buckets, np.int64), 0, None
         ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
 
         def batch(keys: pa.Array, *columns: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([keys, *columns], names=[key, "words", "sizes", "slots", "counts", "docs"])
+            return pa.RecordBatch.from_arrays([keys, *columns], names=[key, "words", "sizes", "votes", "slots", "counts", "docs"])
 
         def lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
             return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), values.astype(np.int32))
@@ -237,25 +254,26 @@ def coded_documents(docs: DataFrame, key: str, text: str, s: Settings) -> tuple[
             own = np.unique((np.repeat(np.arange(len(texts)), words) << s.bits) | bucket_of(codes, s.bits))
             seen += np.bincount(own & (s.buckets - 1), minlength=s.buckets)
             n += len(texts)
-            yield batch(keys, lists(codes, words), lists(sizes, sentences), pa.nulls(len(texts), ints), pa.nulls(len(texts), longs), pa.nulls(len(texts), pa.int64()))
+            yield batch(keys, lists(codes, words), lists(sizes, sentences), b.column(b.schema.get_field_index("votes")).cast(ints), pa.nulls(len(texts), ints), pa.nulls(len(texts), longs), pa.nulls(len(texts), pa.int64()))
         if n:  # one row more a task: what it has counted
             some = np.flatnonzero(seen)
-            yield batch(pa.nulls(1, of_key), pa.nulls(1, ints), pa.nulls(1, ints), pa.array([some.astype(np.int32)], ints), pa.array([seen[some]], longs), pa.array([n]))
+            yield batch(pa.nulls(1, of_key), pa.nulls(1, ints), pa.nulls(1, ints), pa.nulls(1, ints), pa.array([some.astype(np.int32)], ints), pa.array([seen[some]], longs), pa.array([n]))
 
-    both = written(docs.select(key, text).mapInArrow(convert, schema))
+    both = written(docs.select(key, text, "votes").mapInArrow(convert, schema))
     counted = both.where(F.col("docs").isNotNull())
     sums = counted.select(F.explode(F.arrays_zip("slots", "counts")).alias("x")).groupBy("x.slots").agg(F.sum("x.counts").alias("n")).toArrow()
     present = np.zeros(s.buckets, np.int64)
     if sums.num_rows:
         present[sums["slots"].to_numpy()] = sums["n"].to_numpy()
-    return both.where(F.col("docs").isNull()).select(key, "words", "sizes"), present, int(counted.agg(F.sum("docs")).first()[0] or 0)
+    return both.where(F.col("docs").isNull()).select(key, "words", "sizes", "votes"), present, int(counted.agg(F.sum("docs")).first()[0] or 0)
 
 
 class Block:
     """Some documents as flat arrays: words by sentence, sentences by document; word pairs are made when asked for."""
 
-    def __init__(self, keys: list, codes: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, bits: int) -> None:
+    def __init__(self, keys: list, codes: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, bits: int, labelled: np.ndarray | None = None, votes: np.ndarray | None = None) -> None:
         self.keys, self.sizes, self.bits = keys, sizes, bits
+        self.labelled, self.votes = labelled, votes  # which documents have labels, and their votes by subject
         self.codes = codes.astype(np.int64).astype(np.uint64)
         self.sentence_doc = np.repeat(np.arange(len(keys)), per_doc)
         self.sentence = np.repeat(np.arange(len(sizes)), sizes)
@@ -287,6 +305,13 @@ class Block:
                 out[owner[first]] += np.add.reduceat(table[bucket], first, axis=0)
         return out
 
+    def labels(self, width: int) -> np.ndarray:
+        """The share of each subject in a document's votes; zeros without labels."""
+        own = np.zeros((self.n_docs, width))
+        if len(self.labelled):
+            own[self.labelled] = self.votes / self.votes.sum(axis=1, keepdims=True)
+        return own
+
     def document_sums(self, values: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(self.sentence_doc, weights=values[:, k], minlength=self.n_docs) for k in range(values.shape[1])], axis=1)
 
@@ -309,10 +334,14 @@ def blocks(batch: pa.RecordBatch, key: str, s: Settings) -> Iterator[Block]:
     keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
     w_at, s_at = words.offsets.to_numpy().astype(np.int64), sizes.offsets.to_numpy().astype(np.int64)
     w_all, s_all = words.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False)
+    votes = batch.column(batch.schema.get_field_index("votes"))
+    labelled = np.flatnonzero(votes.is_valid().to_numpy(zero_copy_only=False))
+    of_label = votes.flatten().to_numpy(zero_copy_only=False).reshape(len(labelled), -1) if len(labelled) else np.zeros((0, 0))
     at = 0
     while at < len(keys):
         to = max(at + 1, int(np.searchsorted(w_at, w_at[at] + s.block, side="right")) - 1)
-        yield Block(keys[at:to], w_all[w_at[at] : w_at[to]], s_all[s_at[at] : s_at[to]].astype(np.int64), np.diff(s_at[at : to + 1]), s.bits)
+        a, b = np.searchsorted(labelled, [at, to])
+        yield Block(keys[at:to], w_all[w_at[at] : w_at[to]], s_all[s_at[at] : s_at[to]].astype(np.int64), np.diff(s_at[at : to + 1]), s.bits, labelled[a:b] - at, of_label[a:b])
         at = to
 
 
@@ -384,41 +413,173 @@ def bisecting_centres(vectors: np.ndarray, leaves: int, iterations: int) -> np.n
     return np.stack([vectors[rows].mean(axis=0) for _, rows in clusters])
 
 
-def labelled_sample(labels: DataFrame, key: str, subject: str, subjects: list[str], s: Settings) -> dict:
-    """Votes by subject of at most s.max_labelled documents; every annotator's label is a vote."""
-    known = labels.where(F.col(key).isNotNull() & F.col(subject).isin(subjects))
-    votes = known.groupBy(key).pivot(subject, subjects).count().na.fill(0)
-    some = votes.orderBy(F.xxhash64(key), key).limit(s.max_labelled).toArrow().to_pydict()
-    return {k: np.array([some[x][i] for x in subjects], float) for i, k in enumerate(some[key])}
+def packed_vectors(coded: DataFrame, key: str, rarity: np.ndarray, s: Settings) -> DataFrame:
+    """(n, v): the vectors of all documents with words, as whole numbers, many to a row; written to the shared folder."""
+    shared = coded.sparkSession.sparkContext.broadcast(rarity)
+
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, key, s):
+                v = np.rint(document_vectors(b, shared.value, s) * _UNIT).astype("<i2")
+                v = v[v.any(axis=1)]
+                rows = [v[i : i + _PACKED] for i in range(0, len(v), _PACKED)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(len, rows), pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["n", "v"])
+
+    return written(coded.mapInArrow(convert, "n bigint, v binary"))
+
+
+@dataclass
+class Cluster:
+    """A cluster of the tree by the sums over its vectors; split once `parts` are known."""
+
+    n: int
+    sums: np.ndarray
+    squares: int
+    whole: bool = False  # can't be split
+    pair: np.ndarray | None = None  # the two centres that split it
+    parts: list[Cluster] | None = None
+
+    @property
+    def mean(self) -> np.ndarray:
+        return self.sums / self.n
+
+    @property
+    def spread(self) -> float:
+        return 0.0 if self.whole else max(0.0, self.squares - float((self.sums.astype(float) ** 2).sum()) / self.n) / _UNIT**2
+
+
+class Tree:
+    """The splits down to some clusters, as arrays."""
+
+    def __init__(self, root: Cluster, leaves: list[Cluster]) -> None:
+        place, pairs, below = {id(c): i for i, c in enumerate(leaves)}, [], []
+
+        def down(c: Cluster) -> int:
+            if id(c) in place:
+                return ~place[id(c)]
+            at = len(pairs)
+            pairs.append(c.pair)
+            below.append(None)
+            below[at] = [down(part) for part in c.parts]
+            return at
 
+        self.root = down(root)
+        self.pairs, self.below = np.array(pairs), np.array(below)
 
-def sampled_vectors(coded: DataFrame, key: str, rarity: np.ndarray, n_docs: int, votes: dict, s: Settings) -> tuple[np.ndarray, list, np.ndarray]:
-    """Vectors of about s.sampled documents with words, by hash, and keys and vectors of the labelled documents; both bounded."""
-    context = coded.sparkSession.sparkContext
-    shared = context.broadcast((rarity, frozenset(votes)))
-    limit = min(1 << 32, (s.sampled << 32) // max(1, n_docs))
-    kind = coded.schema[key].dataType.simpleString()
-    drawn = F.pmod(F.xxhash64(key, "words"), F.lit(1 << 32))
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The cluster that each vector is in."""
+        at = np.full(len(x), self.root)
+        if self.root >= 0:
+            right = nearer_second(x, self.pairs)
+            while len(rows := np.flatnonzero(at >= 0)):
+                at[rows] = self.below[at[rows], right[rows, at[rows]].astype(int)]
+        return ~at
+
+
+def nearer_second(x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Vectors x pairs: whether a vector is nearer to the second centre of a pair."""
+    return x @ (pairs[:, 1] - pairs[:, 0]).T > ((pairs[:, 1] ** 2).sum(axis=1) - (pairs[:, 0] ** 2).sum(axis=1)) / 2
+
+
+def _folded(packed: DataFrame, dims: int, start: np.ndarray, each: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """tasks x shape of `start`: what each task makes of `start` by each(out, vectors)."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known = shared.value
+        out = start.copy()
         for batch in batches:
-            keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
-            chance = batch.column(batch.schema.get_field_index("drawn")).to_numpy()
-            own = np.fromiter((k in known for k in keys), bool, len(keys))
-            at = np.flatnonzero((chance < limit) | own)
-            if not len(at):
-                continue
-            part = batch.take(pa.array(at))
-            v = np.concatenate([document_vectors(b, weights, s) for b in blocks(part, key, s)]).astype(np.float32)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), s.dims).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(chance[at]), pa.array(own[at]), lists], names=[key, "drawn", "own", "v"])
-
-    rows = coded.withColumn("drawn", drawn).mapInArrow(convert, f"{key} {kind}, drawn bigint, own boolean, v array<float>").limit(2 * s.sampled + s.max_labelled).toArrow()
-    rows = rows.sort_by([("drawn", "ascending"), (key, "ascending")])
-    v = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, s.dims).astype(float) if rows.num_rows else np.zeros((0, s.dims))
-    chance, own = rows["drawn"].to_numpy(), rows["own"].to_numpy().astype(bool)
-    return v[(chance < limit) & (np.abs(v).sum(axis=1) > 0)], [k for k, o in zip(rows[key].to_pylist(), own, strict=True) if o], v[own]
+            for i in range(0, batch.num_rows, _PACKED):
+                each(out, np.frombuffer(b"".join(batch.column(0).slice(i, _PACKED).to_pylist()), "<i2").reshape(-1, dims).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
+
+    context = packed.sparkSession.sparkContext
+    rows = packed.select("v").coalesce(min(_TASKS, 2 * context.defaultParallelism)).mapInArrow(convert, "out binary").toArrow()["out"].to_pylist()
+    return np.stack([start, *(np.frombuffer(r, start.dtype).reshape(start.shape) for r in rows)])
+
+
+def _farthest(packed: DataFrame, tree: Tree, due: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Of each cluster due the vector farthest from its point; of equals the last in the order of their numbers."""
+    width = points.shape[1]
+
+    def best(out: np.ndarray, of: np.ndarray, far: np.ndarray, x: np.ndarray) -> None:
+        top = out[:, 0].copy()
+        np.maximum.at(top, of, far)
+        some = far == top[of]
+        for row in np.unique(np.column_stack([of[some], far[some], x[some]]), axis=0):
+            k = int(row[0])
+            if tuple(row[1:]) > tuple(out[k]):
+                out[k] = row[1:]
+
+    def each(out: np.ndarray, x: np.ndarray) -> None:
+        of = due[tree.leaf(x)]
+        x, of = x[of >= 0], of[of >= 0]
+        best(out, of, np.rint((x**2).sum(axis=1) - 2 * (x @ points.T)[np.arange(len(x)), of] + (points**2).sum(axis=1)[of]), x)
+
+    out = np.full((len(points), 1 + width), -1.0)
+    for task in _folded(packed, width, out.copy(), each):
+        best(out, np.arange(len(points)), task[:, 0], task[:, 1:])
+    return out[:, 1:]
+
+
+def _halved(packed: DataFrame, tree: Tree, due: np.ndarray, pairs: np.ndarray) -> list[list[Cluster]]:
+    """Of each cluster due the two parts by the nearer centre of its pair."""
+    width = pairs.shape[2]
+
+    def each(out: np.ndarray, x: np.ndarray) -> None:
+        of = due[tree.leaf(x)]
+        x, of = x[of >= 0], of[of >= 0]
+        if not len(x):
+            return
+        side = 2 * of + nearer_second(x, pairs)[np.arange(len(x)), of]
+        order = np.argsort(side, kind="stable")
+        first = np.flatnonzero(np.diff(side[order], prepend=-1))
+        rows = np.column_stack([np.ones(len(x)), (x**2).sum(axis=1), x])[order]
+        out[side[order][first]] += np.add.reduceat(rows, first, axis=0).astype(np.int64)
+
+    sums = _folded(packed, width, np.zeros((2 * len(pairs), 2 + width), np.int64), each).sum(axis=0)
+    return [[Cluster(int(r[0]), r[2:], int(r[1])) for r in two] for two in sums.reshape(-1, 2, 2 + width)]
+
+
+def _split(packed: DataFrame, tree: Tree, leaves: list[Cluster], chosen: list[int], iterations: int) -> None:
+    """The chosen leaves split in two, all in the same passes."""
+    due = np.full(len(leaves), -1)
+    due[chosen] = np.arange(len(chosen))
+    first = _farthest(packed, tree, due, np.stack([leaves[k].mean for k in chosen]))
+    pairs = np.stack([first, _farthest(packed, tree, due, first)], axis=1)
+    for _ in range(iterations):
+        parts, before = _halved(packed, tree, due, pairs), pairs.copy()
+        for i, k in enumerate(chosen):
+            c = leaves[k]
+            c.whole = c.whole or not all(part.n for part in parts[i])
+            if not c.whole:
+                c.pair, c.parts, pairs[i] = before[i], parts[i], [part.mean for part in parts[i]]
+        if (pairs == before).all():
+            break
+
+
+def corpus_centres(packed: DataFrame, s: Settings) -> np.ndarray:
+    """Centres of the bisecting k-means of `bisecting_centres` over all vectors, in passes over them.
+
+    How a cluster is split doesn't depend on the others, so all clusters that may be next are split in the same passes.
+    """
+    n = int(packed.agg(F.sum("n")).first()[0] or 0)
+    if n <= s.collected:
+        x = np.frombuffer(b"".join(packed.select("v").toArrow()["v"].to_pylist()), "<i2").reshape(-1, s.dims)
+        return bisecting_centres(x[np.lexsort(x.T[::-1])[::-1]] / _UNIT, s.leaves, s.iterations)
+    every = Cluster(n, np.zeros(s.dims), 0)
+    root = _halved(packed, Tree(every, [every]), np.zeros(1, int), np.zeros((1, 2, s.dims)))[0][0]
+    while True:
+        leaves = [root]
+        while len(leaves) < s.leaves:
+            k = max(range(len(leaves)), key=lambda i: leaves[i].spread)
+            if leaves[k].parts is None or leaves[k].spread <= 1e-9:
+                break
+            leaves[k : k + 1] = leaves[k].parts
+        # No more than the clusters of the largest spread, as many as are still wanted, can be next.
+        next_ = sorted(range(len(leaves)), key=lambda i: -leaves[i].spread)[: s.leaves - len(leaves)]
+        chosen = [i for i in next_ if leaves[i].parts is None and leaves[i].spread > 1e-9]
+        if not chosen or leaves[next_[0]].spread <= 1e-9:
+            return np.stack([c.mean for c in leaves]) / _UNIT
+        _split(packed, Tree(root, leaves), leaves, chosen, s.iterations)
 
 
 @dataclass
@@ -469,31 +630,26 @@ def discriminative_terms(counts: np.ndarray, smoothing: float, least_gain: float
     return (odds * np.clip((gain - least_gain) / 0.2, 0, 1)[:, None]).astype(np.float32)
 
 
-def fit(coded: DataFrame, present: np.ndarray, n_docs: int, labels: DataFrame, subjects: list[str], key: str, subject: str, s: Settings) -> Model:
+def fit(coded: DataFrame, present: np.ndarray, n_docs: int, subjects: list[str], key: str, s: Settings) -> Model:
     """The model of a corpus; see the steps at the top of the module."""
     context, width = coded.sparkSession.sparkContext, len(subjects)
     rarity = np.log((n_docs + 1) / (present + 1))
-    known = labelled_sample(labels, key, subject, subjects, s) if width else {}
-    drawn, keys, own_vectors = sampled_vectors(coded, key, rarity, n_docs, known, s)
-    centres = bisecting_centres(drawn, s.leaves, s.iterations)
+    centres = corpus_centres(packed_vectors(coded, key, rarity, s), s)
     uniform = np.full((len(centres), width), 1 / max(1, width))
 
     def mixture(found: np.ndarray) -> np.ndarray:
         return (found + uniform) / (found.sum(axis=1, keepdims=True) + 1)
 
-    by_label = np.zeros_like(uniform)
-    if keys:
-        shares = np.stack([known[k] / known[k].sum() for k in keys])
-        np.add.at(by_label, leaf_of(own_vectors, centres), shares)
-    model = Model(subjects, np.zeros((s.buckets, width), np.float32), rarity, centres, mixture(by_label), s)
-    votes, last = context.broadcast(known), None
+    place = context.broadcast((rarity, centres))
 
-    def labelled(b: Block) -> np.ndarray:
-        own = np.zeros((b.n_docs, width))
-        for i, k in enumerate(b.keys):
-            if (v := votes.value.get(k)) is not None:
-                own[i] = v / v.sum()
-        return own
+    def of_leaf(b: Block) -> tuple[np.ndarray, np.ndarray]:
+        weights, middles = place.value
+        leaf = leaf_of(document_vectors(b, weights, s), middles)
+        return (leaf[:, None] * width + np.arange(width)).ravel(), b.labels(width).ravel()
+
+    by_label = _sums(coded.where(F.col("votes").isNotNull()), key, uniform.size, s, of_leaf).reshape(uniform.shape) if width else uniform
+    model = Model(subjects, np.zeros((s.buckets, width), np.float32), rarity, centres, mixture(by_label), s)
+    last = None
 
     for n in range(s.rounds if width else 0):
         shared = context.broadcast(model)
@@ -502,7 +658,7 @@ def fit(coded: DataFrame, present: np.ndarray, n_docs: int, labels: DataFrame, s
             m = shared.value
             leaf = m.leaf(b)
             if n == 0:  # labels, else the subjects that the leaf clearly leans to
-                own = labelled(b)
+                own = b.labels(width)
                 lean = np.maximum(m.mixture - 2 / width, 0)[leaf]
                 base, found = np.where(own.sum(axis=1, keepdims=True) > 0, own, s.leaf_weight * lean)[b.sentence_doc], own
             else:  # what the other sentences of the document are about
@@ -513,7 +669,7 @@ def fit(coded: DataFrame, present: np.ndarray, n_docs: int, labels: DataFrame, s
                 size = others.sum(axis=1, keepdims=True)
                 base = np.where(size > 0.01, others / np.maximum(size, 0.01), 0)
                 if n == 1:
-                    own = labelled(b)[b.sentence_doc]
+                    own = b.labels(width)[b.sentence_doc]
                     base = np.where(own.sum(axis=1, keepdims=True) > 0, 0.5 * base + 0.5 * own, base)
             at, value = b.spread(base)
             leaves = ((s.buckets + leaf)[:, None] * width + np.arange(width)).ravel()
@@ -556,8 +712,8 @@ def fitted(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "
     """The coded documents and the model fitted to them; `subjects` lists the few that there are."""
     s = settings or Settings()
     names = sorted({r[0] for r in subjects.select(subject).where(F.col(subject).isNotNull()).distinct().collect()})
-    coded, present, n_docs = coded_documents(docs, key, text, s)
-    return coded, fit(coded, present, n_docs, labels, names, key, subject, s)
+    coded, present, n_docs = coded_documents(with_votes(docs.select(key, text), labels, key, subject, names), key, text, s)
+    return coded, fit(coded, present, n_docs, names, key, s)
 
 
 def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", subject: str = "subject", settings: Settings | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from dataclasses import replace
 from datetime import datetime
 
 import numpy as np
@@ -312,6 +313,41 @@ def test_bisecting_centres():
     assert len(subjects.bisecting_centres(np.ones((9, 4)), 6, 8)) == 1 and subjects.bisecting_centres(np.zeros((0, 4)), 6, 8).shape == (1, 4)
 
 
+def test_centres_are_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(60)]
+    docs = [(i, " ".join(rng.choice(words[i % 6 * 10 : i % 6 * 10 + 12], 9))) for i in range(400)] + [(400 + i, "one and the same") for i in range(40)] + [(500, ""), (501, None)]
+    docs = subjects.with_votes(spark.createDataFrame(docs, "doc_id long, text string"), None, "doc_id", "subject", [])
+    s = subjects.Settings(leaves=9, dims=16, block=300, bits=12)
+    coded, present, n = subjects.coded_documents(docs, "doc_id", "text", s)
+    packed = subjects.packed_vectors(coded, "doc_id", np.log((n + 1) / (present + 1)), s)
+    x = np.concatenate([np.frombuffer(r.v, "<i2").reshape(-1, 16) for r in packed.collect()])
+    assert len(x) == 440
+    whole = subjects.bisecting_centres(x / 32767, 9, 8)
+    for t in (s, replace(s, collected=0)):  # on the driver, and in passes
+        assert np.allclose(subjects.corpus_centres(packed, t), whole, atol=1e-9)
+    assert not subjects.corpus_centres(packed.limit(0), s).any()
+    same = packed.where("false").unionByName(spark.createDataFrame([(3, np.tile(np.arange(16, dtype="<i2"), 3).tobytes())], packed.schema))
+    assert len(subjects.corpus_centres(same, replace(s, collected=0))) == 1
+
+
+def test_every_label_counts(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(7, "again"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "red") for i in range(50)] + [(3, "blue"), (3, "blue"), (4, "nonsense"), (999, "red"), (None, "red"), (5, None)], "doc_id long, subject string")
+    joined = subjects.with_votes(docs, labels, "doc_id", "subject", ["blue", "red"])
+    assert joined.count() == 62 and {r.doc_id: r.votes for r in joined.where("votes is not null").collect()} == {i: [0, 1] if i != 3 else [2, 1] for i in range(50)}
+    coded = subjects.coded_documents(joined, "doc_id", "text", subjects.Settings())[0]
+
+    def counted(batches):
+        for batch in batches:
+            for b in subjects.blocks(batch, "doc_id", subjects.Settings(block=10)):
+                shares = b.labels(2)
+                yield pa.RecordBatch.from_arrays([pa.array(b.keys, pa.int64()), pa.array(shares[:, 0]), pa.array(shares[:, 1])], names=["k", "blue", "red"])
+
+    got = [(r.k, r.blue, r.red) for r in coded.mapInArrow(counted, "k long, blue double, red double").collect()]
+    assert len(got) == 62 and all((blue, red) == ((0, 0) if k is None or k >= 50 else (2 / 3, 1 / 3) if k == 3 else (0, 1)) for k, blue, red in got)
+
+
 # The queries on the given tables --------------------------------------------------------------
 @pytest.fixture(scope="module")
 def larger(sf):
