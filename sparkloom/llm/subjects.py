@@ -449,31 +449,33 @@ class Cluster:
 
 
 class Tree:
-    """The splits down to some clusters, as arrays."""
+    """The splits on the way down to the chosen clusters, as arrays."""
 
-    def __init__(self, root: Cluster, leaves: list[Cluster]) -> None:
-        place, pairs, below = {id(c): i for i, c in enumerate(leaves)}, [], []
+    def __init__(self, root: Cluster, chosen: list[Cluster]) -> None:
+        place, pairs, below, out = {id(c): ~i for i, c in enumerate(chosen)}, [], [], ~len(chosen)
 
         def down(c: Cluster) -> int:
-            if id(c) in place:
-                return ~place[id(c)]
-            at = len(pairs)
+            if id(c) in place or c.parts is None:
+                return place.get(id(c), out)
+            first, second = map(down, c.parts)
+            if first == second == out:
+                return out
             pairs.append(c.pair)
-            below.append(None)
-            below[at] = [down(part) for part in c.parts]
-            return at
+            below.append([first, second])
+            return len(pairs) - 1
 
-        self.root = down(root)
+        self.root, self.out = down(root), len(chosen)
         self.pairs, self.below = np.array(pairs), np.array(below)
 
-    def leaf(self, x: np.ndarray) -> np.ndarray:
-        """The cluster that each vector is in."""
+    def chosen(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors in chosen clusters, and their clusters."""
         at = np.full(len(x), self.root)
         if self.root >= 0:
-            right = nearer_second(x, self.pairs)
+            second = nearer_second(x, self.pairs)
             while len(rows := np.flatnonzero(at >= 0)):
-                at[rows] = self.below[at[rows], right[rows, at[rows]].astype(int)]
-        return ~at
+                at[rows] = self.below[at[rows], second[rows, at[rows]].astype(int)]
+        some = ~at != self.out
+        return (x, ~at) if some.all() else (x[some], ~at[some])
 
 
 def nearer_second(x: np.ndarray, pairs: np.ndarray) -> np.ndarray:
@@ -496,8 +498,8 @@ def _folded(packed: DataFrame, dims: int, start: np.ndarray, each: Callable[[np.
     return np.stack([start, *(np.frombuffer(r, start.dtype).reshape(start.shape) for r in rows)])
 
 
-def _farthest(packed: DataFrame, tree: Tree, due: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Of each cluster due the vector farthest from its point; of equals the last in the order of their numbers."""
+def _farthest(packed: DataFrame, tree: Tree, points: np.ndarray) -> np.ndarray:
+    """Of each chosen cluster the vector farthest from its point; of equals the last in the order of their numbers."""
     width = points.shape[1]
 
     def best(out: np.ndarray, of: np.ndarray, far: np.ndarray, x: np.ndarray) -> None:
@@ -510,9 +512,8 @@ def _farthest(packed: DataFrame, tree: Tree, due: np.ndarray, points: np.ndarray
                 out[k] = row[1:]
 
     def each(out: np.ndarray, x: np.ndarray) -> None:
-        of = due[tree.leaf(x)]
-        x, of = x[of >= 0], of[of >= 0]
-        best(out, of, np.rint((x**2).sum(axis=1) - 2 * (x @ points.T)[np.arange(len(x)), of] + (points**2).sum(axis=1)[of]), x)
+        x, of = tree.chosen(x)
+        best(out, of, np.rint(np.einsum("ij,ij->i", x, x) - 2 * (x @ points.T)[np.arange(len(x)), of] + (points**2).sum(axis=1)[of]), x)
 
     out = np.full((len(points), 1 + width), -1.0)
     for task in _folded(packed, width, out.copy(), each):
@@ -520,38 +521,42 @@ def _farthest(packed: DataFrame, tree: Tree, due: np.ndarray, points: np.ndarray
     return out[:, 1:]
 
 
-def _halved(packed: DataFrame, tree: Tree, due: np.ndarray, pairs: np.ndarray) -> list[list[Cluster]]:
-    """Of each cluster due the two parts by the nearer centre of its pair."""
+def _halved(packed: DataFrame, tree: Tree, pairs: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Sums (number, squares, vectors) over the two parts of each chosen cluster by the nearer centre of its pair; with `before` how they change from those by the pairs before."""
     width = pairs.shape[2]
 
     def each(out: np.ndarray, x: np.ndarray) -> None:
-        of = due[tree.leaf(x)]
-        x, of = x[of >= 0], of[of >= 0]
-        if not len(x):
+        x, of = tree.chosen(x)
+        at = np.arange(len(x))
+        part, sign = 2 * of + nearer_second(x, pairs)[at, of], np.ones(len(x))
+        if before is not None:  # only vectors that change sides
+            last = 2 * of + nearer_second(x, before)[at, of]
+            moved = np.flatnonzero(part != last)
+            part, at, sign = np.concatenate([part[moved], last[moved]]), np.tile(moved, 2), np.repeat([1.0, -1.0], len(moved))
+        if not len(at):
             return
-        side = 2 * of + nearer_second(x, pairs)[np.arange(len(x)), of]
-        order = np.argsort(side, kind="stable")
-        first = np.flatnonzero(np.diff(side[order], prepend=-1))
-        rows = np.column_stack([np.ones(len(x)), (x**2).sum(axis=1), x])[order]
-        out[side[order][first]] += np.add.reduceat(rows, first, axis=0).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, sign, x = part[order], sign[order], x[at[order]]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        rows = np.column_stack([np.ones(len(x)), np.einsum("ij,ij->i", x, x), x]) * sign[:, None]
+        out[part[first]] += np.add.reduceat(rows, first, axis=0).astype(np.int64)
 
-    sums = _folded(packed, width, np.zeros((2 * len(pairs), 2 + width), np.int64), each).sum(axis=0)
-    return [[Cluster(int(r[0]), r[2:], int(r[1])) for r in two] for two in sums.reshape(-1, 2, 2 + width)]
+    return _folded(packed, width, np.zeros((2 * len(pairs), 2 + width), np.int64), each).sum(axis=0).reshape(-1, 2, 2 + width)
 
 
-def _split(packed: DataFrame, tree: Tree, leaves: list[Cluster], chosen: list[int], iterations: int) -> None:
+def _split(packed: DataFrame, root: Cluster, chosen: list[Cluster], iterations: int) -> None:
     """The chosen leaves split in two, all in the same passes."""
-    due = np.full(len(leaves), -1)
-    due[chosen] = np.arange(len(chosen))
-    first = _farthest(packed, tree, due, np.stack([leaves[k].mean for k in chosen]))
-    pairs = np.stack([first, _farthest(packed, tree, due, first)], axis=1)
+    tree = Tree(root, chosen)
+    first = _farthest(packed, tree, np.stack([c.mean for c in chosen]))
+    pairs, before, sums = np.stack([first, _farthest(packed, tree, first)], axis=1), None, 0
     for _ in range(iterations):
-        parts, before = _halved(packed, tree, due, pairs), pairs.copy()
-        for i, k in enumerate(chosen):
-            c = leaves[k]
-            c.whole = c.whole or not all(part.n for part in parts[i])
+        sums = sums + _halved(packed, tree, pairs, before)
+        before = pairs.copy()
+        for i, c in enumerate(chosen):
+            parts = [Cluster(int(r[0]), r[2:], int(r[1])) for r in sums[i]]
+            c.whole = c.whole or not all(part.n for part in parts)
             if not c.whole:
-                c.pair, c.parts, pairs[i] = before[i], parts[i], [part.mean for part in parts[i]]
+                c.pair, c.parts, pairs[i] = before[i], parts, [part.mean for part in parts]
         if (pairs == before).all():
             break
 
@@ -566,7 +571,8 @@ def corpus_centres(packed: DataFrame, s: Settings) -> np.ndarray:
         x = np.frombuffer(b"".join(packed.select("v").toArrow()["v"].to_pylist()), "<i2").reshape(-1, s.dims)
         return bisecting_centres(x[np.lexsort(x.T[::-1])[::-1]] / _UNIT, s.leaves, s.iterations)
     every = Cluster(n, np.zeros(s.dims), 0)
-    root = _halved(packed, Tree(every, [every]), np.zeros(1, int), np.zeros((1, 2, s.dims)))[0][0]
+    sums = _halved(packed, Tree(every, [every]), np.zeros((1, 2, s.dims)))[0, 0]
+    root = Cluster(int(sums[0]), sums[2:], int(sums[1]))
     while True:
         leaves = [root]
         while len(leaves) < s.leaves:
@@ -576,10 +582,10 @@ def corpus_centres(packed: DataFrame, s: Settings) -> np.ndarray:
             leaves[k : k + 1] = leaves[k].parts
         # No more than the clusters of the largest spread, as many as are still wanted, can be next.
         next_ = sorted(range(len(leaves)), key=lambda i: -leaves[i].spread)[: s.leaves - len(leaves)]
-        chosen = [i for i in next_ if leaves[i].parts is None and leaves[i].spread > 1e-9]
+        chosen = [leaves[i] for i in next_ if leaves[i].parts is None and leaves[i].spread > 1e-9]
         if not chosen or leaves[next_[0]].spread <= 1e-9:
             return np.stack([c.mean for c in leaves]) / _UNIT
-        _split(packed, Tree(root, leaves), leaves, chosen, s.iterations)
+        _split(packed, root, chosen, s.iterations)
 
 
 @dataclass
